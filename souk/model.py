@@ -21,14 +21,15 @@ class Entity:
     name: str
     keys: tuple[str, ...]
     columns: tuple[str, ...]
+    free_text: bool = False  # quoted fields may hold line ends, so files cannot be split
 
     @property
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c, T.StringType()) for c in self.columns])
 
 
-def _entity(name: str, keys: str, columns: str) -> Entity:
-    return Entity(name, tuple(keys.split()), tuple(columns.split()))
+def _entity(name: str, keys: str, columns: str, free_text: bool = False) -> Entity:
+    return Entity(name, tuple(keys.split()), tuple(columns.split()), free_text)
 
 
 # The raw entities, their keys and columns ("lenght" is the source's spelling).
@@ -53,7 +54,7 @@ ENTITIES = {
                 "order_id payment_sequential payment_type payment_installments payment_value"),
         _entity("order_reviews", "review_id",
                 "review_id order_id review_score review_comment_title review_comment_message "
-                "review_creation_date review_answer_timestamp"),
+                "review_creation_date review_answer_timestamp", free_text=True),
         _entity("sellers", "seller_id",
                 "seller_id seller_zip_code_prefix seller_city seller_state"),
         _entity("product_category_name_translation", "product_category_name",

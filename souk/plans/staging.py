@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk import model
 from souk.functions import scalar as S
 from souk.operators.dedup import keep_latest
 
-STAMP = F.col(model.LOAD_STAMP).cast("timestamp").alias("modified_at")
+
+def _stamp() -> Column:
+    return F.col(model.LOAD_STAMP).cast("timestamp").alias("modified_at")
 
 
 def stg_orders(raw: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def stg_orders(raw: DataFrame) -> DataFrame:
         S.clean("customer_id").alias("customer_id"),
         F.upper(S.clean("order_status")).alias("order_status"),
         *(S.to_timestamp(t).alias(t) for t in times),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["order_id"])
 
 
@@ -31,7 +33,7 @@ def stg_customers(raw: DataFrame) -> DataFrame:
         F.lower(S.clean("customer_city")).alias("customer_city"),
         F.upper(S.clean("customer_state")).alias("customer_state"),
         S.clean("customer_zip_code_prefix").alias("customer_zip_prefix"),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["customer_id"])
 
 
@@ -44,7 +46,7 @@ def stg_order_items(raw: DataFrame) -> DataFrame:
         S.to_timestamp("shipping_limit_date").alias("shipping_limit_date"),
         S.to_money("price").alias("price"),
         S.to_money("freight_value").alias("freight_value"),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["order_id", "order_item_id"])
 
 
@@ -55,7 +57,7 @@ def stg_payments(raw: DataFrame) -> DataFrame:
         F.upper(S.clean("payment_type")).alias("payment_type"),
         S.to_long("payment_installments", 0).alias("payment_installments"),
         S.to_money("payment_value", 0).alias("payment_value"),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["order_id", "payment_sequential"])
 
 
@@ -69,7 +71,7 @@ def stg_products(raw: DataFrame) -> DataFrame:
         S.to_long("product_photos_qty", 0).alias("product_photos_qty"),
         *(S.to_double(c, 0.0).alias(c) for c in ("product_weight_g", *sizes)),
         S.positive_product(*sizes).alias("product_volume_cm3"),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["product_id"])
 
 
@@ -81,7 +83,7 @@ def stg_order_reviews(raw: DataFrame) -> DataFrame:
         S.to_long("review_score", 0).alias("review_score"),
         *(S.clean(c).alias(c) for c in texts),
         *(S.to_timestamp(c).alias(c) for c in ("review_creation_date", "review_answer_timestamp")),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["review_id", "order_id"])
 
 
@@ -91,12 +93,12 @@ def stg_sellers(raw: DataFrame) -> DataFrame:
         S.clean("seller_zip_code_prefix").alias("seller_zip_prefix"),
         F.lower(S.clean("seller_city")).alias("seller_city"),
         F.upper(S.clean("seller_state")).alias("seller_state"),
-        STAMP)
+        _stamp())
     return keep_latest(typed, ["seller_id"])
 
 
 def stg_category_translation(raw: DataFrame) -> DataFrame:
-    typed = raw.select("product_category_name", "product_category_name_english", STAMP)
+    typed = raw.select("product_category_name", "product_category_name_english", _stamp())
     return keep_latest(typed, ["product_category_name"])
 
 

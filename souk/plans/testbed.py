@@ -120,27 +120,59 @@ REGIONS_SQL = """
     where n_name <> 'NATION_7'"""
 
 
-def given_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
+class _Given(dict):
+    """Given tables, opened on first use."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    given = given_tables(spark, sf_dir)
-    return {name: _over(spark, sql, given) for name, sql in RAW_SQL.items()}
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
 
 
-def region_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, REGIONS_SQL, given_tables(spark, sf_dir))
+class _Raw(dict):
+    """Raw entities over the given tables, planned on first use."""
+
+    def __init__(self, given: _Given) -> None:
+        super().__init__()
+        self.given = given
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = _over(RAW_SQL[name], self.given)
+        return self[name]
 
 
-def _over(spark: SparkSession, sql: str, given: dict[str, DataFrame]) -> DataFrame:
-    used = {name: df for name, df in given.items() if "{" + name + "}" in sql}
-    return spark.sql(sql, **used)
+def _over(sql: str, given: _Given) -> DataFrame:
+    used = {name: given[name] for name in SOURCES if "{" + name + "}" in sql}
+    return given.spark.sql(sql, **used)
 
 
+_inputs: dict[tuple[str, str], tuple[_Given, _Raw, DataFrame]] = {}
 _warehouses: dict[tuple[str, str], Warehouse] = {}
 
 
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[_Given, _Raw, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _inputs:
+        given = _Given(spark, sf_dir)
+        _inputs[key] = (given, _Raw(given), _over(REGIONS_SQL, given))
+    return _inputs[key]
+
+
+def given_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return _opened(spark, sf_dir)[0]
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return _opened(spark, sf_dir)[1]
+
+
+def region_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _opened(spark, sf_dir)[2]
+
+
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """Stored warehouse over the given tables, one per application and folder.
 

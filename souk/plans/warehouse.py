@@ -43,14 +43,19 @@ class Warehouse(Mapping[str, DataFrame]):
         return f"{self.root}/{name}"
 
     def _stored(self, name: str) -> DataFrame:
-        frame = self.define(name)
         if self.root is None or (name not in MARTS and name not in SHARED_STAGING):
-            return frame
+            return self.define(name)
+        return self.store(name)
+
+    def store(self, name: str) -> DataFrame:
+        """Write a table and read it back from there, whatever its kind."""
+        frame, path = self.define(name), self.path(name)
         if name in MARTS:
-            tables.write_mart(frame, self.path(name), MARTS[name], self.grain)
+            tables.write_mart(frame, path, MARTS[name], self.grain)
         else:
-            frame.write.mode("overwrite").parquet(self.path(name))
-        return tables.read_mart(self.spark, self.path(name))
+            frame.write.mode("overwrite").parquet(path)
+        self._frames[name] = tables.read_mart(self.spark, path)
+        return self._frames[name]
 
     def define(self, name: str, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """The plan of a table over other tables of this warehouse (or over given inputs)."""

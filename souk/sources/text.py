@@ -13,11 +13,10 @@ from souk.functions.scalar import clean
 from souk.model import Entity
 
 
-def _scan(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.schema(schema).csv(
-        path, header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8",
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+def _scan(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
+    return spark.read.schema(entity.schema).csv(
+        path, header=False, multiLine=entity.free_text, quote='"', escape='"', encoding="UTF-8",
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
 def read_entity(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
@@ -28,7 +27,7 @@ def read_entity(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
     recognised by content: each field equals the name of its column.
     """
     names = list(entity.columns)
-    fields = _scan(spark, path, names).select(*(clean(n).alias(n) for n in names))
+    fields = _scan(spark, path, entity).select(*(clean(n).alias(n) for n in names))
     present = reduce(lambda a, b: a | b, [F.coalesce(F.col(n), F.lit("")) != "" for n in names])
     header = reduce(lambda a, b: a & b, [F.coalesce(F.col(n) == n, F.lit(False)) for n in names])
     return fields.filter(present & ~header)
