@@ -47,6 +47,9 @@ class Warehouse(Mapping[str, DataFrame]):
             return self.define(name)
         return self.store(name)
 
+    def is_stored(self, name: str) -> bool:
+        return self.root is not None and _has_files(self.spark, self.path(name))
+
     def store(self, name: str) -> DataFrame:
         """Write a table and read it back from there, whatever its kind."""
         frame, path = self.define(name), self.path(name)

@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from souk.registry import operators  # noqa: F401  (registers its queries)
 from souk.registry import queries as Q
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

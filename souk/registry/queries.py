@@ -7,25 +7,20 @@ dates, times and booleans become text, decimals become doubles, on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk import model
-from souk.functions import measures as M
-from souk.functions import scalar as S
-from souk.operators import history, incremental, joins, profile, ranking
-from souk.operators.dedup import keep_latest
-from souk.plans import checks, reports, rollups
+from souk.operators import profile
+from souk.plans import reports
 from souk.plans import testbed as tb
-from souk.plans.testbed import TEST_REGION, TEST_REGIONS, TEST_YEAR
+from souk.plans.testbed import TEST_REGION, TEST_YEAR
 from souk.registry import checksql as Q
 from souk.registry import reportsql as R
 from souk.session import work_folder
-from souk.sources import tables, text
-from souk.sources.seeds import read_seed
+from souk.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
