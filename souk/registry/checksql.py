@@ -214,7 +214,7 @@ CTES["sale"] = """
     from fact_sales f
     join dim_customers c on c.customer_key = f.customer_key
     join dim_sellers s on s.seller_key = f.seller_key
-    join dim_products p on p.product_key = f.product_key
+    left join dim_products p on p.product_key = f.product_key
     join dim_date d on d.date_key = f.date_key
     join dim_orders o on o.order_key = f.order_key
     left join dim_payments y on y.payment_key = f.payment_key

@@ -16,7 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Call sites per column expression cost more driver time than planning a report.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
