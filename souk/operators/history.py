@@ -31,19 +31,19 @@ def apply_load(history: DataFrame | None, load: DataFrame, key: str, updated_at:
     """History after a load: changed keys get a new open version, their old one is closed.
 
     A key is changed when its stamp is newer than that of its open version. Keys absent from
-    the load stay open. Both sides of the join hold one row per key.
+    the load stay open. Closed versions are passed through; the joins see one row per key on
+    each side, however many versions a key has.
     """
     incoming = first_versions(load, key, updated_at)
     if history is None:
         return incoming
-    open_rows = history.filter(F.col(TO).isNull()).select(
-        F.col(key), F.col(UPDATED).alias("_open_since"))
-    marked = incoming.join(open_rows, key, "left")
-    fresh = marked.filter(
-        F.col("_open_since").isNull() | (F.col(updated_at) > F.col("_open_since"))
-    ).drop("_open_since").select(*incoming.columns)
-    closing = fresh.select(F.col(key), F.col(FROM).alias("_closed_at"))
-    kept = (history.join(closing, key, "left")
-            .withColumn(TO, F.coalesce(F.col(TO), F.col("_closed_at")))
-            .drop("_closed_at").select(*history.columns))
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    closed = history.filter(F.col(TO).isNotNull())
+    current = history.filter(F.col(TO).isNull())
+    open_since = current.select(F.col(key), F.col(UPDATED).alias("_open_since"))
+    newer = F.col("_open_since").isNull() | (F.col(updated_at) > F.col("_open_since"))
+    fresh = incoming.join(open_since, key, "left").filter(newer).select(*incoming.columns)
+    successors = fresh.select(F.col(key), F.col(FROM).alias("_closed_at"))
+    ended = (current.join(successors, key, "left").withColumn(TO, F.col("_closed_at"))
+             .select(*history.columns))
+    return (closed.unionByName(ended)
+            .unionByName(fresh, allowMissingColumns=True))

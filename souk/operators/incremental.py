@@ -24,12 +24,18 @@ def newer_than(source: DataFrame, target: DataFrame | None, column: str,
     return source.filter(F.col(column) > F.lit(mark).cast("timestamp_ntz").cast("timestamp"))
 
 
-def rows_of_touched_keys(source: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows, old and new, of every key that has a changed row.
+def changed_keys(changed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of changed rows."""
+    return changed.select(*keys).distinct()
 
-    Aggregated tables must be rebuilt from these, not from the changed rows alone.
+
+def rows_of_keys(source: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows, old and new, of the given keys.
+
+    Aggregated tables must be rebuilt from these, not from the changed rows alone. Give the keys
+    as a stored table: few of them are then broadcast, and with many a popular key is split.
     """
-    return source.join(changed.select(*keys).distinct(), list(keys), "left_semi")
+    return source.join(changed, list(keys), "left_semi")
 
 
 def sync_columns(target: DataFrame, source: DataFrame) -> DataFrame:

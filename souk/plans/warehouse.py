@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from souk import model
-from souk.model import MARTS
+from souk.model import MARTS, Mart
 from souk.operators import incremental
 from souk.plans import dimensions, facts
 from souk.plans.staging import STAGING
@@ -18,11 +19,20 @@ from souk.sources import tables
 STEPS = (
     ("stg_orders", "stg_customers", "dim_payments", "dim_sellers", "dim_products"),
     ("dim_reviews", "dim_customers", "dim_orders", "dim_date"),
+    ("order_facts",),
     ("fact_sales",),
 )
 
-# Staging tables with several consumers; the others are computed where they are used.
-SHARED_STAGING = ("stg_orders", "stg_customers")
+# Intermediate tables that are stored: staging with several consumers, and the order side of the
+# fact. Other staging tables are computed where they are used.
+STORED = ("stg_orders", "stg_customers", "order_facts")
+
+# Mart -> staging table whose new rows it merges; aggregating marts also name the grouping key.
+ROW_BY_ROW = {"dim_orders": "stg_orders", "dim_products": "stg_products",
+              "dim_sellers": "stg_sellers", "fact_sales": "stg_order_items"}
+AGGREGATED = {"dim_customers": ("stg_customers", "customer_unique_id"),
+              "dim_payments": ("stg_payments", "order_id"),
+              "dim_reviews": ("stg_order_reviews", "order_id")}
 
 
 class Warehouse(Mapping[str, DataFrame]):
@@ -51,7 +61,7 @@ class Warehouse(Mapping[str, DataFrame]):
         return f"{self.root}/{name}"
 
     def _stored(self, name: str) -> DataFrame:
-        if self.root is None or (name not in MARTS and name not in SHARED_STAGING):
+        if self.root is None or (name not in MARTS and name not in STORED):
             return self.define(name)
         return self.store(name)
 
@@ -84,9 +94,11 @@ class Warehouse(Mapping[str, DataFrame]):
             return dimensions.dim_products(t["stg_products"], t["stg_category_translation"])
         if name == "dim_reviews":
             return dimensions.dim_reviews(t["stg_order_reviews"], t["stg_orders"])
+        if name == "order_facts":
+            return facts.order_facts(t["stg_orders"], t["stg_customers"], t["dim_payments"],
+                                     t["dim_reviews"])
         if name == "fact_sales":
-            return facts.fact_sales(t["stg_order_items"], t["stg_orders"], t["stg_customers"],
-                                    t["dim_payments"], t["dim_reviews"])
+            return facts.fact_sales(t["stg_order_items"], t["order_facts"])
         source = {"dim_orders": "stg_orders", "dim_payments": "stg_payments", "dim_date": "stg_orders"}
         return getattr(dimensions, name)(t[source[name]])
 
@@ -100,35 +112,46 @@ class Warehouse(Mapping[str, DataFrame]):
     def marts(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in MARTS}
 
+    def _new_rows(self, table: str, mart: Mart, target: DataFrame) -> DataFrame:
+        """Staged rows stamped after the target's newest.
+
+        The raw rows are filtered, so old ones are not read. That equals filtering the staged
+        rows: the newest version of a key is after the mark exactly if any version is.
+        """
+        build, entity = STAGING[table]
+        return build(incremental.newer_than(self.raw[entity], target, model.LOAD_STAMP, mart.stamp))
+
     def changes(self, name: str, target: DataFrame | None) -> DataFrame:
         """Rows to merge into a mart: those that raw rows newer than the target give rise to.
 
         Dimensions that aggregate (customers, payments, reviews) are rebuilt from all rows of
         the keys that changed, so the merged table equals a full rebuild.
         """
-        mart = MARTS[name]
-        if target is None:
+        if target is None or name == "dim_date":
             return self.define(name)
-        if name == "dim_date":
-            return self.define(name)
-        grouped = {"dim_customers": ("stg_customers", "customer_unique_id"),
-                   "dim_payments": ("stg_payments", "order_id"),
-                   "dim_reviews": ("stg_order_reviews", "order_id")}
-        simple = {"dim_orders": "stg_orders", "dim_products": "stg_products",
-                  "dim_sellers": "stg_sellers", "fact_sales": "stg_order_items"}
-        inputs = {k: self[k] for k in ("stg_orders", "stg_customers")}
-        inputs["stg_category_translation"] = self["stg_category_translation"]
-        if name in grouped:
-            table, key = grouped[name]
-            everything = self[table]
-            fresh = incremental.newer_than(everything, target, "modified_at", mart.stamp)
-            inputs[table] = incremental.rows_of_touched_keys(everything, fresh, [key])
-        else:
-            table = simple[name]
-            inputs[table] = incremental.newer_than(self[table], target, "modified_at", mart.stamp)
-        if name == "fact_sales":
-            inputs |= {k: self[k] for k in ("dim_payments", "dim_reviews")}
-        return self.define(name, inputs)
+        mart = MARTS[name]
+        if name in AGGREGATED:
+            table, key = AGGREGATED[name]
+            changed = incremental.changed_keys(self._new_rows(table, mart, target), [key])
+            keys = self._written(changed, f"_staging/{name}_keys")
+            return self._define_with(name, {table: incremental.rows_of_keys(self[table], keys, [key])})
+        new_rows = self._new_rows(ROW_BY_ROW[name], mart, target)
+        if name != "fact_sales":
+            return self._define_with(name, {ROW_BY_ROW[name]: new_rows})
+        keys = self._written(incremental.changed_keys(new_rows, ["order_id"]), "_staging/fact_sales_keys")
+        orders = incremental.rows_of_keys(self["stg_orders"], keys, ["order_id"])
+        order_side = self._written(self._define_with("order_facts", {"stg_orders": orders}),
+                                   "_staging/fact_sales_orders")
+        return self._define_with(name, {"stg_order_items": new_rows, "order_facts": order_side})
+
+    def _define_with(self, name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
+        return self.define(name, ChainMap(inputs, self))
+
+    def _written(self, df: DataFrame, folder: str) -> DataFrame:
+        """A frame by way of a table: its size is then known to the planner."""
+        path = self.path(folder)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def refresh(self, name: str) -> DataFrame:
         """Merge what is new into the stored mart; the first run is a full build."""
