@@ -75,8 +75,7 @@ class Warehouse(Mapping[str, DataFrame]):
             tables.write_mart(frame, path, MARTS[name], self.grain)
         else:
             frame.write.mode("overwrite").parquet(path)
-        self._frames[name] = tables.read_mart(self.spark, path)
-        return self._frames[name]
+        return self.adopt(name, tables.read_mart(self.spark, path))
 
     def define(self, name: str, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """The plan of a table over other tables of this warehouse (or over given inputs)."""
@@ -112,37 +111,38 @@ class Warehouse(Mapping[str, DataFrame]):
     def marts(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in MARTS}
 
-    def _new_rows(self, table: str, mart: Mart, target: DataFrame) -> DataFrame:
+    def _new_rows(self, table: str, raw: DataFrame, mart: Mart, target: DataFrame) -> DataFrame:
         """Staged rows stamped after the target's newest.
 
         The raw rows are filtered, so old ones are not read. That equals filtering the staged
         rows: the newest version of a key is after the mark exactly if any version is.
         """
-        build, entity = STAGING[table]
-        return build(incremental.newer_than(self.raw[entity], target, model.LOAD_STAMP, mart.stamp))
+        build, _ = STAGING[table]
+        return build(incremental.newer_than(raw, target, model.LOAD_STAMP, mart.stamp))
 
-    def changes(self, name: str, target: DataFrame | None) -> DataFrame:
+    def changes(self, name: str, target: DataFrame | None, raw: DataFrame | None = None) -> DataFrame:
         """Rows to merge into a mart: those that raw rows newer than the target give rise to.
 
         Dimensions that aggregate (customers, payments, reviews) are rebuilt from all rows of
-        the keys that changed, so the merged table equals a full rebuild.
+        the keys that changed, so the merged table equals a full rebuild. `raw` stands in for
+        the mart's raw table when only arriving rows are at hand.
         """
         if target is None or name == "dim_date":
             return self.define(name)
         mart = MARTS[name]
+        table = ROW_BY_ROW[name] if name in ROW_BY_ROW else AGGREGATED[name][0]
+        new_rows = self._new_rows(table, self.raw[STAGING[table][1]] if raw is None else raw, mart, target)
         if name in AGGREGATED:
-            table, key = AGGREGATED[name]
-            changed = incremental.changed_keys(self._new_rows(table, mart, target), [key])
-            keys = self._written(changed, f"_staging/{name}_keys")
+            key = AGGREGATED[name][1]
+            keys = self._written(incremental.changed_keys(new_rows, [key]), f"_staging/{name}_keys")
             return self._define_with(name, {table: incremental.rows_of_keys(self[table], keys, [key])})
-        new_rows = self._new_rows(ROW_BY_ROW[name], mart, target)
         if name != "fact_sales":
-            return self._define_with(name, {ROW_BY_ROW[name]: new_rows})
+            return self._define_with(name, {table: new_rows})
         keys = self._written(incremental.changed_keys(new_rows, ["order_id"]), "_staging/fact_sales_keys")
         orders = incremental.rows_of_keys(self["stg_orders"], keys, ["order_id"])
         order_side = self._written(self._define_with("order_facts", {"stg_orders": orders}),
                                    "_staging/fact_sales_orders")
-        return self._define_with(name, {"stg_order_items": new_rows, "order_facts": order_side})
+        return self._define_with(name, {table: new_rows, "order_facts": order_side})
 
     def _define_with(self, name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
         return self.define(name, ChainMap(inputs, self))
@@ -155,15 +155,31 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def refresh(self, name: str) -> DataFrame:
         """Merge what is new into the stored mart; the first run is a full build."""
-        path, mart = self.path(name), MARTS[name]
+        path = self.path(name)
         if not _has_files(self.spark, path):
-            tables.write_mart(self.define(name), path, mart, self.grain)
+            tables.write_mart(self.define(name), path, MARTS[name], self.grain)
         else:
-            target = tables.read_mart(self.spark, path)
-            tables.merge_mart(self.spark, path, self.changes(name, target), mart,
-                              f"{self.root}/_staging/{name}", self.grain)
-        self._frames[name] = tables.read_mart(self.spark, path)
-        return self._frames[name]
+            self._merge(name, self.changes(name, tables.read_mart(self.spark, path)))
+        return self.adopt(name, tables.read_mart(self.spark, path))
+
+    def merge_rows(self, name: str, raw: DataFrame) -> DataFrame:
+        """Merge arriving raw rows into a stored mart that follows them one by one."""
+        path, table = self.path(name), ROW_BY_ROW[name]
+        if not _has_files(self.spark, path):
+            staged = self._define_with(name, {table: STAGING[table][0](raw)})
+            tables.write_mart(staged, path, MARTS[name], self.grain)
+        else:
+            self._merge(name, self.changes(name, tables.read_mart(self.spark, path), raw))
+        return self.adopt(name, tables.read_mart(self.spark, path))
+
+    def _merge(self, name: str, rows: DataFrame) -> None:
+        tables.merge_mart(self.spark, self.path(name), rows, MARTS[name],
+                          f"{self.root}/_staging/{name}", self.grain)
+
+    def adopt(self, name: str, frame: DataFrame) -> DataFrame:
+        """Use this frame for a table from now on."""
+        self._frames[name] = frame
+        return frame
 
     def refresh_all(self) -> None:
         for name in MARTS:

@@ -191,7 +191,7 @@ CTES["fact_sales"] = """
            customer_unique_id as customer_key, product_id as product_key, seller_id as seller_key,
            strftime(order_purchase_timestamp, '%Y-%m-%d') as date_key, payment_key, review_key,
            price as item_price, freight_value, price + freight_value as total_item_value,
-           1 as quantity, coalesce(total_payment_value, 0) as payment_value,
+           cast(1 as bigint) as quantity, coalesce(total_payment_value, 0) as payment_value,
            coalesce(total_installments, 1) as total_installments,
            coalesce(payment_methods_count, 1) as payment_methods_count,
            coalesce(uses_credit_card, false) as uses_credit_card,

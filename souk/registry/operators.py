@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -14,12 +15,14 @@ from souk.operators.dedup import keep_latest
 from souk.plans import checks, reports, rollups
 from souk.plans import testbed as tb
 from souk.plans.testbed import TEST_REGION, TEST_REGIONS, TEST_YEAR
+from souk.plans.warehouse import Warehouse
 from souk.registry import checksql as Q
 from souk.registry import reportsql as R
 from souk.registry.queries import (
     TABLE_COLUMNS, marts, plans, query, register, scratch, shown)
 from souk.sources import tables, text
 from souk.sources.seeds import read_seed
+from souk.streaming.arrivals import merge_arrivals
 
 # --- R24: follow-on reports ----------------------------------------------------------------------
 
@@ -327,7 +330,7 @@ def _(spark, d):
 # --- P: projection and filters ----------------------------------------------------------------------
 
 @query("p1_p4_projection", """select order_id || '-' || order_item_id as order_item_sk,
-       cast(price + freight_value as double) as total_item_value, 1 as quantity, order_id, product_id
+       cast(price + freight_value as double) as total_item_value, cast(1 as bigint) as quantity, order_id, product_id
        from stg_order_items""")
 def _(spark, d):
     items = plans(spark, d)["stg_order_items"].alias("i")
@@ -890,6 +893,44 @@ for _entity, _key, _column, _split in (
                      history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
 
 
+def _two_loads(mart: str, entity: str, keep: tuple[str, ...]):
+    """A stored mart after two refreshes: raw rows up to the cut, then all of them."""
+    def run(spark, d):
+        base = marts(spark, d)
+        raw = tb.raw_tables(spark, d)
+        root = scratch(spark, d, f"refresh_{mart}_{uuid4().hex}")
+        before = raw[entity].filter(F.col(model.LOAD_STAMP) < F.lit(CUT).cast("timestamp"))
+        for version in (before, raw[entity]):
+            w = Warehouse(spark, {entity: version}, base.regions, root, "year")
+            for name in keep:
+                w.adopt(name, base[name])
+            stored = w.refresh(mart)
+        return stored.drop("period")
+    return run
+
+
+for _mart, _entity, _keep in (
+        ("dim_orders", "orders", ()),
+        ("dim_payments", "payments", ()),
+        ("dim_reviews", "order_reviews", ("stg_orders",)),
+        ("fact_sales", "order_items", ("stg_orders", "stg_customers", "dim_payments", "dim_reviews"))):
+    register(f"w1_w2_refresh_{_mart}", _two_loads(_mart, _entity, _keep),
+             Q.query(f"select {shown(TABLE_COLUMNS[_mart])} from {_mart}"))
+
+
+@query("w2_stream_dim_orders", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")
+def _(spark, d):
+    """Two files of raw orders arrive one after the other and are merged as they come."""
+    raw = tb.raw_tables(spark, d)["orders"]
+    folder = scratch(spark, d, f"stream_{uuid4().hex}")
+    w = Warehouse(spark, {"orders": raw}, tb.region_seed(spark, d), f"{folder}/marts", "year")
+    early = F.col(model.LOAD_STAMP) < F.lit(CUT).cast("timestamp")
+    for arriving in (raw.filter(early), raw.filter(~early)):
+        arriving.write.mode("append").parquet(f"{folder}/landing")
+        merge_arrivals(w, "dim_orders", f"{folder}/landing", raw.schema, f"{folder}/seen").awaitTermination()
+    return w["dim_orders"].drop("period")
+
+
 # --- D: data quality ------------------------------------------------------------------------------------------
 
 DOMAINS = checks.Domains(states=tuple(f"NATION_{i}" for i in range(24)), regions=TEST_REGIONS,
