@@ -21,6 +21,26 @@ SETTINGS = {
 }
 
 
+MEGABYTE = 1024 * 1024
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Scan and shuffle sizes for a run over this much stored data.
+
+    Splits grow from 128 MB to 1 GB so that a very large scan stays near 200,000 tasks. Shuffles
+    start with one partition per 256 MB, between the core count and 50,000 (beyond that the
+    shuffle index of every map task becomes the cost); adaptive execution merges what is small
+    and splits what is skewed. With 50,000 partitions a shuffle of 15 TB has 300 MB per task.
+    """
+    split = min(max(128 * MEGABYTE, input_bytes // 200_000), 1024 * MEGABYTE)
+    partitions = min(max(cores, input_bytes // (256 * MEGABYTE)), 50_000)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{256 if partitions == 50_000 else 128}m",
+    }
+
+
 def build_session(app: str = "souk", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

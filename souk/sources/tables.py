@@ -60,27 +60,31 @@ def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, s
                 grain: str | None = "day") -> list[str]:
     """Write the merged rows of every period the upsert changes to `staging`; list those periods.
 
-    Periods are those of the new rows and those now holding an old copy of a merged key; the
-    latter are found by a scan of the key column alone. Untouched periods are not read.
+    The new rows are written first: they are used three times, and once their size is known a
+    small increment is broadcast instead of shuffling the stored rows. Periods are those of the
+    new rows and those now holding an old copy of a merged key; the latter are found by a scan
+    of the key column alone. Untouched periods are not read.
     """
+    source.write.mode("overwrite").parquet(f"{staging}/rows")
+    rows = spark.read.schema(source.schema).parquet(f"{staging}/rows")
+    merged = f"{staging}/merged"
     stored = read_mart(spark, path)
     if grain is None or mart.day_column is None:
-        upsert(stored, source, [mart.key]).write.mode("overwrite").parquet(staging)
+        upsert(stored, rows, [mart.key]).write.mode("overwrite").parquet(merged)
         return []
-    incoming = source.withColumn(PERIOD, period_of(mart, grain))
-    holders = stored.select(mart.key, PERIOD).join(source.select(mart.key), mart.key, "left_semi")
-    periods = holders.select(F.col(PERIOD).cast("string")).union(incoming.select(PERIOD)).distinct()
+    holders = stored.select(mart.key, PERIOD).join(rows.select(mart.key), mart.key, "left_semi")
+    periods = holders.select(F.col(PERIOD).cast("string")).union(rows.select(period_of(mart, grain))).distinct()
     # One value per calendar period, so the list is short whatever the data volume.
     touched = sorted(r[0] for r in periods.collect())
     current = stored.filter(F.col(PERIOD).cast("string").isin(touched)).drop(PERIOD)
-    upsert(current, source, [mart.key]).write.mode("overwrite").parquet(staging)
+    upsert(current, rows, [mart.key]).write.mode("overwrite").parquet(merged)
     return touched
 
 
 def publish_merge(spark: SparkSession, path: str, mart: Mart, staging: str, touched: list[str],
                   grain: str | None = "day") -> None:
     """Replace the touched periods by the staged rows. Repeatable: it reads nothing it replaces."""
-    staged = spark.read.parquet(staging)
+    staged = spark.read.parquet(f"{staging}/merged")
     if grain is None or mart.day_column is None:
         write_mart(staged, path, mart, None)
         return

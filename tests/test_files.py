@@ -121,3 +121,17 @@ def test_profile_of_a_sample(spark):
     assert {r["column_name"]: r["distinct_values"] for r in profile.distinct_counts(df).collect()} == {"s": 2, "id": 100}
     with pytest.raises(ValueError):
         profile.sample_rows(df, 1000)
+
+
+def test_sizes_follow_the_data():
+    from souk.session import settings_for
+    small, large = settings_for(10**9, 8), settings_for(100 * 10**12, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(128 * 2**20)
+    assert large["spark.sql.shuffle.partitions"] == "50000"
+    assert 500 * 10**6 <= int(large["spark.sql.files.maxPartitionBytes"]) <= 2**30
+
+
+def test_work_folder_is_the_shared_one(spark):
+    from souk.session import work_folder
+    assert work_folder(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))

@@ -154,3 +154,23 @@ def test_purge_reports_what_it_drops(spark):
     df = spark.createDataFrame([("a",), (None,), ("b",)], "id string")
     assert rows(incremental.purge_null_ids(df, "id")) == [{"id": "a"}, {"id": "b"}]
     assert rows(incremental.purge_report(df, "id")) == [{"kept": 2, "dropped": 1}]
+
+
+def test_stream_merges_each_file_once(spark, raw, tmp_path):
+    from souk.streaming.arrivals import merge_arrivals
+    landing, seen = str(tmp_path / "landing"), str(tmp_path / "seen")
+    w = Warehouse(spark, {}, read_seed(spark), str(tmp_path / "w"), "month")
+    arrivals = [
+        raw("sellers", dict(seller_id="s1", seller_state="SP", at="2020-01-01 00:00:00"),
+            dict(seller_id="s2", seller_state="RJ", at="2020-01-01 00:00:00")),
+        raw("sellers", dict(seller_id="s1", seller_state="BA", at="2020-03-01 00:00:00"),
+            dict(seller_id="s3", seller_state="SP", at="2020-03-01 00:00:00")),
+    ]
+    for batch in arrivals:
+        batch.write.mode("append").parquet(landing)
+        for _ in range(2):
+            merge_arrivals(w, "dim_sellers", landing, batch.schema, seen).awaitTermination()
+    got = {r["seller_key"]: r["seller_region"] for r in rows(w["dim_sellers"])}
+    assert got == {"s1": "Northeast", "s2": "Southeast", "s3": "Southeast"}
+    with pytest.raises(ValueError):
+        merge_arrivals(w, "dim_payments", landing, arrivals[0].schema, seen)
