@@ -95,6 +95,8 @@ def _sums() -> list[Column]:
         F.sum("freight_value").alias("freight"),
         F.count("freight_value").alias("freighted"),
         F.sum("item_price").alias("price"),
+        F.bool_or(F.col("payment_key").isNotNull()).alias("is_paid"),
+        F.bool_or(F.col("review_key").isNotNull()).alias("is_reviewed"),
     ]
 
 
@@ -107,12 +109,17 @@ def _resum(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
-def _orders(marts: Marts, scope: Scope, *keys: str) -> DataFrame:
-    """Sales per order, restricted to the scope's year and customer region."""
+def _orders(marts: Marts, scope: Scope) -> DataFrame:
+    """Sales per order, restricted to the scope's year and customer region.
+
+    The payment and review key of an order are its order key, or NULL without one; the flags
+    is_paid and is_reviewed say which. Grouping by the order key alone leaves the rows placed
+    for the join to those dimensions, which then needs no further shuffle of the sales.
+    """
+    sales = _sales_of_year(marts, scope)
     if scope.region is None:
-        return _at_grain(_sales_of_year(marts, scope), "order_key", *keys)
-    wanted = keys if "customer_key" in keys else ("customer_key", *keys)
-    orders = _at_grain(_sales_of_year(marts, scope), "order_key", *wanted)
+        return _at_grain(sales, "order_key")
+    orders = _at_grain(sales, "order_key", "customer_key")
     return orders.join(_customers(marts, scope), "customer_key", "left_semi")
 
 
@@ -276,10 +283,10 @@ def customer_frequency(marts: Marts, year=None, region=None,
 
 
 def _paid_orders(marts: Marts, scope: Scope, *columns: str) -> DataFrame:
-    """Sales per paid order with its payment attributes; unpaid orders have no payment key."""
-    orders = _orders(marts, scope, "payment_key").filter(F.col("payment_key").isNotNull())
+    """Sales per paid order with its payment attributes (p_...)."""
     kinds = marts["dim_payments"].select("payment_key", *(F.col(c).alias(f"p_{c}") for c in columns))
-    return orders.join(kinds, "payment_key")
+    orders = _orders(marts, scope).filter("is_paid")
+    return orders.join(kinds, F.col("order_key") == F.col("payment_key"))
 
 
 def _item_mean(value: str, weight: str, digits: int = 1) -> Column:
@@ -382,15 +389,10 @@ def seller_product_diversity(marts: Marts, year=None, region=None) -> DataFrame:
 
 
 def _reviewed_orders(marts: Marts, scope: Scope, how: str, *columns: str) -> DataFrame:
-    """Sales per order with its review columns (r_...).
-
-    The review key of an order is its order key or NULL. Joining on the order key, with the NULL
-    test as a condition, keeps the many unreviewed orders spread instead of in one partition.
-    """
-    orders = _orders(marts, scope, "review_key").withColumnRenamed("review_key", "_review")
+    """Sales per order with its review columns (r_...); unreviewed orders stay spread by order key."""
     reviews = marts["dim_reviews"].select("review_key", *(F.col(c).alias(f"r_{c}") for c in columns))
-    matches = (F.col("order_key") == F.col("review_key")) & F.col("_review").isNotNull()
-    return orders.join(reviews, matches, how)
+    matches = (F.col("order_key") == F.col("review_key")) & F.col("is_reviewed")
+    return _orders(marts, scope).join(reviews, matches, how)
 
 
 def reviews_sales_correlation(marts: Marts, year=None, region=None) -> DataFrame:
@@ -439,13 +441,21 @@ def review_timing_analysis(marts: Marts, year=None, region=None) -> DataFrame:
 
 
 def _delivered(marts: Marts, scope: Scope, *keys: str) -> DataFrame:
-    """Sales per order (and further keys) of delivered orders with the delivery numbers."""
-    sales = _at_grain(_sales_of_year(marts, scope), "order_key", "customer_key", *keys)
+    """Sales per order (and further keys) of delivered orders with the delivery numbers.
+
+    Without further keys the order key alone groups and its one customer is carried along, so
+    the join to the orders needs no second shuffle and finds its input already sorted.
+    """
+    sales = _sales_of_year(marts, scope)
+    if keys:
+        orders = _at_grain(sales, "order_key", "customer_key", *keys)
+    else:
+        orders = sales.groupBy("order_key").agg(F.any_value("customer_key").alias("customer_key"), *_sums())
     times = (marts["dim_orders"].filter(F.col("days_to_delivery").isNotNull())
              .select("order_key", F.col("days_to_delivery").cast("bigint").alias("days"),
                      F.col("delivery_vs_estimate_days").cast("bigint").alias("late_by"),
                      F.col("is_delivered_on_time").alias("on_time")))
-    return sales.join(times, "order_key")
+    return orders.join(times, "order_key")
 
 
 def _delivery_sums() -> list[Column]:
