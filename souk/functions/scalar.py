@@ -92,10 +92,10 @@ def megabytes(c: str) -> Column:
 
 def bucket(c: Column, steps: Sequence[tuple[float, str]], above: str) -> Column:
     """Label by the first inclusive upper bound the value fits under, else `above`."""
-    out = F
-    for bound, label in steps:
-        out = out.when(c <= bound, label)
-    return out.otherwise(above)
+    out = F.lit(above)
+    for bound, label in reversed(steps):
+        out = F.when(c <= bound, label).otherwise(out)
+    return out
 
 
 def transaction_type(customer_region: str, seller_region: str) -> Column:
@@ -105,28 +105,27 @@ def transaction_type(customer_region: str, seller_region: str) -> Column:
 
 def behaviour_segment(orders: Column) -> Column:
     one, regular, loyal = model.BEHAVIOUR_SEGMENTS
-    return F.when(orders == 1, one).when(orders.between(2, 5), regular).when(orders > 5, loyal)
+    low, high = model.REGULAR_ORDERS
+    return F.when(orders == 1, one).when(orders.between(low, high), regular).when(orders > high, loyal)
 
 
 def value_segment(spent: Column) -> Column:
-    """Spend strictly between 100 and 101 belongs to no segment: kept, as NULL."""
+    """Spend strictly between the low and the medium bounds belongs to no segment: kept, as NULL."""
     low, medium, high = model.VALUE_SEGMENTS
-    return F.when(spent <= 100, low).when(spent.between(101, 500), medium).when(spent > 500, high)
+    start, end = model.MEDIUM_VALUE
+    return (F.when(spent <= model.LOW_VALUE_MAX, low).when(spent.between(start, end), medium)
+            .when(spent > end, high))
 
 
 def review_category(key: Column, score: Column) -> Column:
-    return (F.when(key.isNull(), model.NO_REVIEW)
-            .when(score >= 4, "Positive (4-5)")
-            .when(score == 3, "Neutral (3)")
-            .otherwise("Negative (1-2)"))
+    labels = model.REVIEW_LABELS
+    scored = F.when(score == 3, labels["neutral"]).when(score > 3, labels["positive"])
+    return F.when(key.isNull(), model.NO_REVIEW).otherwise(F.coalesce(scored, F.lit(labels["negative"])))
 
 
 def review_timing(days: Column) -> Column:
-    return bucket(days, [(7, "Quick (≤7 days)"), (30, "Normal (8-30 days)"),
-                         (90, "Delayed (31-90 days)")], "Very Late (>90 days)")
+    return bucket(days, model.REVIEW_TIMING, model.REVIEW_TIMING_ABOVE)
 
 
 def delivery_speed(days: Column) -> Column:
-    return bucket(days, [(5, "Very Fast (≤5 days)"), (10, "Fast (6-10 days)"),
-                         (20, "Normal (11-20 days)"), (30, "Slow (21-30 days)")],
-                  "Very Slow (>30 days)")
+    return bucket(days, model.DELIVERY_SPEED, model.DELIVERY_SPEED_ABOVE)

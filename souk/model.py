@@ -65,6 +65,15 @@ ENTITIES = {
     )
 }
 
+# Raw tables that can be purged of rows without an id, and that id.
+PURGED_ON = {
+    "customers": "customer_id",
+    "order_items": "order_id",
+    "orders": "order_id",
+    "products": "product_id",
+    "sellers": "seller_id",
+}
+
 SEED_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("state_code", "state_name", "region", "economic_zone")]
 )
@@ -110,21 +119,39 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
           "October", "November", "December")
 WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
-# Report labels.
+# Report labels and the bounds of the buckets they name.
 ALL_YEARS, ALL_REGIONS = "All Years", "All Regions"
+UNKNOWN_REGION, UNKNOWN_PAYMENT = "Unknown", "unknown"
 SAME_REGION, CROSS_REGION = "Same Region", "Cross Region"
-NO_REVIEW = "No Review"
 BEHAVIOUR_SEGMENTS = {
     "One-Time Customer": "One-Time Customer (1 order)",
     "Regular Customer": "Regular Customer (2-5 orders)",
     "Loyal Customer": "Loyal Customer (6+ orders)",
 }
+REGULAR_ORDERS = (2, 5)
 VALUE_SEGMENTS = {
     "Low Value": "Low Value (≤$100 spend)",
     "Medium Value": "Medium Value ($101-$500 spend)",
     "High Value": "High Value ($500+ spend)",
 }
-TOP_N_CHOICES = (10, 15, 20, 25, 30)
+LOW_VALUE_MAX, MEDIUM_VALUE = 100, (101, 500)
+NO_REVIEW = "No Review"
+REVIEW_LABELS = {"positive": "Positive (4-5)", "neutral": "Neutral (3)", "negative": "Negative (1-2)"}
+REVIEW_TIMING = ((7, "Quick (≤7 days)"), (30, "Normal (8-30 days)"), (90, "Delayed (31-90 days)"))
+REVIEW_TIMING_ABOVE = "Very Late (>90 days)"
+DELIVERY_SPEED = ((5, "Very Fast (≤5 days)"), (10, "Fast (6-10 days)"), (20, "Normal (11-20 days)"),
+                  (30, "Slow (21-30 days)"))
+DELIVERY_SPEED_ABOVE = "Very Slow (>30 days)"
+OTHERS = "Others"
+REVIEW_AVAILABILITY = ("Has Reviews", "No Reviews")
+
+# Payment flag -> the (upper-cased) payment type it stands for.
+PAYMENT_FLAGS = {
+    "uses_credit_card": "CREDIT_CARD",
+    "uses_boleto": "BOLETO",
+    "uses_voucher": "VOUCHER",
+    "uses_debit_card": "DEBIT_CARD",
+}
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk import model
+
 EPOCH = datetime(1970, 1, 1)
 
 
@@ -72,3 +74,9 @@ def purge_report(df: DataFrame, id_column: str) -> DataFrame:
     missing: Column = F.col(id_column).isNull()
     return df.agg(F.count(F.when(~missing, 1)).alias("kept"),
                   F.count(F.when(missing, 1)).alias("dropped"))
+
+
+def purge_raw(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The raw tables, those with a declared id without the rows that lack it."""
+    return {name: purge_null_ids(df, model.PURGED_ON[name]) if name in model.PURGED_ON else df
+            for name, df in raw.items()}

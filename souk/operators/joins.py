@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk import model
+
 LOOKUP_ROWS = 50_000
 SALTS = 32
 
@@ -40,11 +42,12 @@ def with_region(df: DataFrame, regions: DataFrame, state: str, prefix: str, key:
         F.col("economic_zone").alias("_zone"),
         F.col("state_name").alias("_name"),
     )
+    unknown = F.lit(model.UNKNOWN_REGION)
     joined = lookup_join(df, seed, F.upper(state), "_state_code", key)
     return joined.select(
         *df.columns,
-        F.coalesce("_region", F.lit("Unknown")).alias(f"{prefix}_region"),
-        F.coalesce("_zone", F.lit("Unknown")).alias(f"{prefix}_economic_zone"),
+        F.coalesce("_region", unknown).alias(f"{prefix}_region"),
+        F.coalesce("_zone", unknown).alias(f"{prefix}_economic_zone"),
         F.coalesce("_name", F.col(state)).alias(f"{prefix}_state_name"),
     )
 

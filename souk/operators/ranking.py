@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from souk import model
 from souk.functions import measures
 
 
@@ -16,7 +17,7 @@ def top_n(df: DataFrame, metric: str, n: int, *tie_breakers: str) -> DataFrame:
 
 
 def top_with_others(df: DataFrame, label: str, measure: str, n: int = 10,
-                    others: str = "Others") -> DataFrame:
+                    others: str = model.OTHERS) -> DataFrame:
     """The n largest rows and one row with the sum of the rest, if there is a rest.
 
     `df` is a finished report of a few dozen rows, so the unpartitioned rank is cheap.

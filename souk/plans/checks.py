@@ -46,6 +46,8 @@ def refers(table: str, column: str, parent: str, parent_column: str) -> list[Che
 
 BOOL = (True, False)
 
+# The columns, bounds and proportions below are the declared ones.
+
 
 def staging_checks(d: Domains = Domains()) -> list[Check]:
     return [

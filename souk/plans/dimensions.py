@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk import model
 from souk.functions import scalar as S
 from souk.operators.dedup import keep_latest
 from souk.operators.joins import lookup_join, with_region
@@ -62,20 +63,11 @@ def dim_orders(stg_orders: DataFrame) -> DataFrame:
         (late_by <= 0).alias("is_delivered_on_time"))
 
 
-# Payment flag -> the (upper-cased) payment type it stands for.
-PAYMENT_FLAGS = {
-    "uses_credit_card": "CREDIT_CARD",
-    "uses_boleto": "BOLETO",
-    "uses_voucher": "VOUCHER",
-    "uses_debit_card": "DEBIT_CARD",
-}
-
-
 def dim_payments(stg_payments: DataFrame) -> DataFrame:
     """One row per paid order; the first payment by sequence names the primary type."""
     of_type = F.coalesce(F.col("payment_type"), F.lit(""))
     return stg_payments.groupBy(F.col("order_id").alias("payment_key")).agg(
-        *(F.bool_or(of_type == t).alias(flag) for flag, t in PAYMENT_FLAGS.items()),
+        *(F.bool_or(of_type == t).alias(flag) for flag, t in model.PAYMENT_FLAGS.items()),
         F.min_by("payment_type", "payment_sequential").alias("primary_payment_type"),
         F.sum("payment_value").cast("decimal(38,9)").alias("total_payment_value"),
         F.sum("payment_installments").alias("total_installments"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souk import model
 from souk.functions import scalar as S
 
 
@@ -45,7 +46,7 @@ def order_facts(stg_orders: DataFrame, stg_customers: DataFrame, dim_payments: D
                 F.coalesce("uses_boleto", none).alias("uses_boleto"),
                 F.coalesce("uses_voucher", none).alias("uses_voucher"),
                 F.coalesce("uses_debit_card", none).alias("uses_debit_card"),
-                F.coalesce("primary_payment_type", F.lit("unknown")).alias("primary_payment_type"),
+                F.coalesce("primary_payment_type", F.lit(model.UNKNOWN_PAYMENT)).alias("primary_payment_type"),
                 "order_purchase_ts"))
 
 

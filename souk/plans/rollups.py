@@ -116,7 +116,7 @@ def specialization_by_region(diversity: DataFrame) -> DataFrame:
 
 def review_availability(reviews: DataFrame) -> DataFrame:
     """Items and sales with and without a review: always two rows."""
-    labels = {"Has Reviews": "reviews_count", "No Reviews": "no_review_count"}
+    labels = dict(zip(model.REVIEW_AVAILABILITY, ("reviews_count", "no_review_count"), strict=True))
     without = F.col("review_category") == model.NO_REVIEW
     none = F.lit(0).cast("decimal(38,2)")
     sums = reviews.agg(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk import model
@@ -361,6 +363,16 @@ def _(spark, d):
         "product_id", "product_category_name")
 
 
+@query("p6_purged_raw_tables", " union all ".join(
+    f"select '{t}' as table_name, count({k}) as kept from raw_{t}" for t, k in model.PURGED_ON.items()))
+def _(spark, d):
+    raw = tb.raw_tables(spark, d)
+    purged = incremental.purge_raw({name: raw[name] for name in model.PURGED_ON})
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("kept"))
+              for name, df in purged.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("p7_sentinel_filters", "select * from report", report=R.sales_by_state())
 def _(spark, d):
     return reports.sales_by_state(marts(spark, d), model.ALL_YEARS, model.ALL_REGIONS)

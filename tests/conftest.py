@@ -12,8 +12,8 @@ from souk.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4",
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "3",
         "spark.default.parallelism": "4",
         "spark.driver.memory": "4g",
         "spark.ui.showConsoleProgress": "false",

@@ -154,6 +154,9 @@ def test_purge_reports_what_it_drops(spark):
     df = spark.createDataFrame([("a",), (None,), ("b",)], "id string")
     assert rows(incremental.purge_null_ids(df, "id")) == [{"id": "a"}, {"id": "b"}]
     assert rows(incremental.purge_report(df, "id")) == [{"kept": 2, "dropped": 1}]
+    sellers = df.withColumnRenamed("id", "seller_id")
+    purged = incremental.purge_raw({"sellers": sellers, "payments": sellers})
+    assert (purged["sellers"].count(), purged["payments"].count()) == (2, 3)
 
 
 def test_stream_merges_each_file_once(spark, raw, tmp_path):
