@@ -65,6 +65,9 @@ ENTITIES = {
     )
 }
 
+# Raw tables whose history is kept, and the key of each.
+SNAPSHOTS = {"customers": "customer_id", "orders": "order_id", "sellers": "seller_id"}
+
 # Raw tables that can be purged of rows without an id, and that id.
 PURGED_ON = {
     "customers": "customer_id",

@@ -27,23 +27,30 @@ def first_versions(load: DataFrame, key: str, updated_at: str) -> DataFrame:
     )
 
 
-def apply_load(history: DataFrame | None, load: DataFrame, key: str, updated_at: str) -> DataFrame:
-    """History after a load: changed keys get a new open version, their old one is closed.
+def changed_versions(history: DataFrame, load: DataFrame, key: str,
+                     updated_at: str) -> tuple[DataFrame, DataFrame]:
+    """New open versions a load brings, and the versions they close.
 
-    A key is changed when its stamp is newer than that of its open version. Keys absent from
-    the load stay open. Closed versions are passed through; the joins see one row per key on
-    each side, however many versions a key has.
+    A key is changed when its stamp is newer than that of its open version. Closed versions are
+    not read; the joins see one row per key on each side, however many versions a key has.
     """
     incoming = first_versions(load, key, updated_at)
-    if history is None:
-        return incoming
-    closed = history.filter(F.col(TO).isNotNull())
     current = history.filter(F.col(TO).isNull())
     open_since = current.select(F.col(key), F.col(UPDATED).alias("_open_since"))
     newer = F.col("_open_since").isNull() | (F.col(updated_at) > F.col("_open_since"))
     fresh = incoming.join(open_since, key, "left").filter(newer).select(*incoming.columns)
     successors = fresh.select(F.col(key), F.col(FROM).alias("_closed_at"))
-    ended = (current.join(successors, key, "left").withColumn(TO, F.col("_closed_at"))
+    ended = (current.join(successors, key).withColumn(TO, F.col("_closed_at"))
              .select(*history.columns))
-    return (closed.unionByName(ended)
+    return fresh, ended
+
+
+def apply_load(history: DataFrame | None, load: DataFrame, key: str, updated_at: str) -> DataFrame:
+    """History after a load. Keys absent from the load stay open."""
+    if history is None:
+        return first_versions(load, key, updated_at)
+    fresh, ended = changed_versions(history, load, key, updated_at)
+    closed = history.filter(F.col(TO).isNotNull())
+    still_open = history.filter(F.col(TO).isNull()).join(ended.select(key), key, "left_anti")
+    return (closed.unionByName(still_open.select(*history.columns)).unionByName(ended)
             .unionByName(fresh, allowMissingColumns=True))

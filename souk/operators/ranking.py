@@ -33,7 +33,11 @@ def top_with_others(df: DataFrame, label: str, measure: str, n: int = 10,
 
 
 def share_of_total(count: str, digits: int = 1):
-    """Percent of the column's total over a grouped report (one row per group, so small)."""
+    """Percent of the column's total over a grouped report.
+
+    The window has one partition, which holds one row per group: per review score, instalment
+    sum or order count (N orders have fewer than sqrt(2N) different counts per customer).
+    """
     return measures.percent(count, F.sum(count).over(Window.partitionBy()), digits)
 
 

@@ -7,10 +7,11 @@ from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from souk import model
 from souk.model import MARTS, Mart
-from souk.operators import incremental
+from souk.operators import history, incremental
 from souk.plans import dimensions, facts
 from souk.plans.staging import STAGING
 from souk.sources import tables
@@ -73,9 +74,13 @@ class Warehouse(Mapping[str, DataFrame]):
         frame, path = self.define(name), self.path(name)
         if name in MARTS:
             tables.write_mart(frame, path, MARTS[name], self.grain)
-        else:
-            frame.write.mode("overwrite").parquet(path)
-        return self.adopt(name, tables.read_mart(self.spark, path))
+            return self.adopt(name, self._read(MARTS[name], frame.schema))
+        frame.write.mode("overwrite").parquet(path)
+        return self.adopt(name, self.spark.read.schema(frame.schema).parquet(path))
+
+    def _read(self, mart: Mart, schema: T.StructType) -> DataFrame:
+        return tables.read_mart(self.spark, self.path(mart.name), schema,
+                                tables.is_partitioned(mart, self.grain))
 
     def define(self, name: str, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """The plan of a table over other tables of this warehouse (or over given inputs)."""
@@ -155,33 +160,52 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def refresh(self, name: str) -> DataFrame:
         """Merge what is new into the stored mart; the first run is a full build."""
-        path = self.path(name)
-        if not _has_files(self.spark, path):
-            tables.write_mart(self.define(name), path, MARTS[name], self.grain)
-        else:
-            self._merge(name, self.changes(name, tables.read_mart(self.spark, path)))
-        return self.adopt(name, tables.read_mart(self.spark, path))
+        return self._bring_up(name, self.define(name), None)
 
     def merge_rows(self, name: str, raw: DataFrame) -> DataFrame:
         """Merge arriving raw rows into a stored mart that follows them one by one."""
-        path, table = self.path(name), ROW_BY_ROW[name]
+        table = ROW_BY_ROW[name]
+        return self._bring_up(name, self._define_with(name, {table: STAGING[table][0](raw)}), raw)
+
+    def _bring_up(self, name: str, full: DataFrame, raw: DataFrame | None) -> DataFrame:
+        path, mart = self.path(name), MARTS[name]
         if not _has_files(self.spark, path):
-            staged = self._define_with(name, {table: STAGING[table][0](raw)})
-            tables.write_mart(staged, path, MARTS[name], self.grain)
+            tables.write_mart(full, path, mart, self.grain)
         else:
-            self._merge(name, self.changes(name, tables.read_mart(self.spark, path), raw))
-        return self.adopt(name, tables.read_mart(self.spark, path))
-
-    def _merge(self, name: str, rows: DataFrame) -> None:
-        tables.merge_mart(self.spark, self.path(name), rows, MARTS[name],
-                          f"{self.root}/_staging/{name}", self.grain)
+            rows = self.changes(name, self._read(mart, full.schema), raw)
+            tables.merge_mart(self.spark, path, rows, mart, f"{self.root}/_staging/{name}", self.grain)
+        return self.adopt(name, self._read(mart, full.schema))
 
     def adopt(self, name: str, frame: DataFrame) -> DataFrame:
         """Use this frame for a table from now on."""
         self._frames[name] = frame
         return frame
 
+    def snapshot(self, entity: str) -> DataFrame:
+        """Bring the stored SCD-2 history of a raw table up to date with its present rows.
+
+        The history is partitioned by the period a version was closed in, open versions apart.
+        A run merges new and just closed versions on the version id: it rewrites the open
+        versions and the periods that gain closed ones, and repeating it changes nothing.
+        """
+        name = f"{entity}_snapshot"
+        path, key, load = self.path(name), model.SNAPSHOTS[entity], self.raw[entity]
+        mart = Mart(name, history.VERSION, history.TO, (key,), None)
+        full = history.first_versions(load, key, model.LOAD_STAMP)
+        grain = self.grain or "year"
+        if not _has_files(self.spark, path):
+            tables.write_mart(full, path, mart, grain)
+        else:
+            stored = tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD)
+            fresh, ended = history.changed_versions(stored, load, key, model.LOAD_STAMP)
+            tables.merge_mart(self.spark, path, fresh.unionByName(ended), mart,
+                              f"{self.root}/_staging/{name}", grain)
+        return self.adopt(name, tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD))
+
     def refresh_all(self) -> None:
+        """A daily run: histories of the raw tables, then every mart."""
+        for entity in model.SNAPSHOTS:
+            self.snapshot(entity)
         for name in MARTS:
             self.refresh(name)
 

@@ -894,6 +894,19 @@ def _snapshot(entity: str, key: str, column: str, *split):
     return run
 
 
+def _stored_snapshot(entity: str, column: str, *split):
+    """The same history, kept on disk by two runs of the warehouse (and a third without news)."""
+    def run(spark, d):
+        key = model.SNAPSHOTS[entity]
+        raw = tb.raw_tables(spark, d)[entity].select(key, column, model.LOAD_STAMP)
+        root = scratch(spark, d, f"snapshot_{entity}_{uuid4().hex}")
+        first, second = _loads(raw, column, *split)
+        for load in (first, second, second):
+            stored = Warehouse(spark, {entity: load}, tb.region_seed(spark, d), root, "year").snapshot(entity)
+        return stored.drop(model.LOAD_STAMP)
+    return run
+
+
 JANUARY = ("2001-01-28", "2001-01-04", ("2001-01-10", "2001-01-15"))
 for _entity, _key, _column, _split in (
         ("customers", "customer_id", "customer_city", JANUARY),
@@ -903,6 +916,9 @@ for _entity, _key, _column, _split in (
     register(f"w5_snapshot_{_entity}", _snapshot(_entity, _key, _column, *_split),
              Q.query("select * from history",
                      history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
+    register(f"w5_stored_snapshot_{_entity}", _stored_snapshot(_entity, _column, *_split),
+             Q.query("select * from history",
+                     history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
 
 
 def _two_loads(mart: str, entity: str, keep: tuple[str, ...]):

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.model import Mart
 from souk.operators.incremental import upsert
@@ -37,7 +38,7 @@ def arranged(df: DataFrame, mart: Mart, grain: str | None) -> DataFrame:
     files and merge small ones, so neither a busy day nor a thousand quiet ones hurts.
     """
     keys = list(mart.cluster_by)
-    if grain is None or mart.day_column is None:
+    if not is_partitioned(mart, grain):
         return df.hint("rebalance").sortWithinPartitions(*keys)
     return (df.withColumn(PERIOD, period_of(mart, grain)).hint("rebalance", F.col(PERIOD))
             .sortWithinPartitions(PERIOD, *keys))
@@ -46,14 +47,28 @@ def arranged(df: DataFrame, mart: Mart, grain: str | None) -> DataFrame:
 def write_mart(df: DataFrame, path: str, mart: Mart, grain: str | None = "day") -> None:
     """Full write of a mart, partitioned on the period of its day column."""
     writer = arranged(df, mart, grain).write.mode("overwrite")
-    if grain is not None and mart.day_column is not None:
+    if is_partitioned(mart, grain):
         writer = writer.partitionBy(PERIOD)
     writer.parquet(path)
 
 
-def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    """Mart rows. The period column stays: filters on it skip whole directories."""
-    return spark.read.option("basePath", path).parquet(path)
+def read_mart(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              partitioned: bool = True) -> DataFrame:
+    """Mart rows. The period column stays: filters on it skip whole directories.
+
+    With a schema, files written before a column existed give NULL for it and columns that are
+    gone are not read, whichever periods were rewritten since.
+    """
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        fields = [f for f in schema if f.name != PERIOD]
+        period = [T.StructField(PERIOD, T.StringType())] if partitioned else []
+        reader = reader.schema(T.StructType(fields + period))
+    return reader.parquet(path)
+
+
+def is_partitioned(mart: Mart, grain: str | None) -> bool:
+    return grain is not None and mart.day_column is not None
 
 
 def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, staging: str,
@@ -68,8 +83,8 @@ def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, s
     source.write.mode("overwrite").parquet(f"{staging}/rows")
     rows = spark.read.schema(source.schema).parquet(f"{staging}/rows")
     merged = f"{staging}/merged"
-    stored = read_mart(spark, path)
-    if grain is None or mart.day_column is None:
+    stored = read_mart(spark, path, source.schema, is_partitioned(mart, grain))
+    if not is_partitioned(mart, grain):
         upsert(stored, rows, [mart.key]).write.mode("overwrite").parquet(merged)
         return []
     holders = stored.select(mart.key, PERIOD).join(rows.select(mart.key), mart.key, "left_semi")
@@ -85,7 +100,7 @@ def publish_merge(spark: SparkSession, path: str, mart: Mart, staging: str, touc
                   grain: str | None = "day") -> None:
     """Replace the touched periods by the staged rows. Repeatable: it reads nothing it replaces."""
     staged = spark.read.parquet(f"{staging}/merged")
-    if grain is None or mart.day_column is None:
+    if not is_partitioned(mart, grain):
         write_mart(staged, path, mart, None)
         return
     (arranged(staged, mart, grain).write.mode("overwrite")

@@ -116,6 +116,18 @@ def test_merge_leaves_other_periods_alone(spark, tmp_path):
     assert sorted(p.name for p in (path / "period=2020-01").glob("*.parquet")) == before
 
 
+def test_merge_syncs_columns_of_untouched_periods(spark, tmp_path):
+    mart = Mart("t", "k", "modified_at", ("k",))
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("a", 1, DAY), ("b", 1, DAY + timedelta(days=40))],
+                                "k string, gone int, modified_at timestamp")
+    tables.write_mart(old, path, mart, "month")
+    new = spark.createDataFrame([("b", 2.5, DAY + timedelta(days=41))], "k string, fresh double, modified_at timestamp")
+    tables.merge_mart(spark, path, new, mart, str(tmp_path / "staged"), "month")
+    got = tables.read_mart(spark, path, new.schema).select("k", "fresh", "period")
+    assert rows(got) == [{"k": "a", "fresh": None, "period": "2020-01"}, {"k": "b", "fresh": 2.5, "period": "2020-02"}]
+
+
 def _content(df):
     return rows(df.drop("period"))
 
@@ -146,6 +158,11 @@ def test_refresh_in_two_loads_equals_a_full_build(spark, raw, tmp_path):
             assert stored.count() == full[name].count()
         else:
             assert _content(stored) == _content(full[name]), name
+    orders = tables.read_mart(spark, f"{root}/orders_snapshot")
+    assert orders.count() == 6 and orders.filter(f"{history.TO} is not null").count() == 0
+    people = rows(tables.read_mart(spark, f"{root}/customers_snapshot"), "customer_id", history.FROM)
+    assert [(r["customer_id"], r["customer_state"], r[history.TO] is None) for r in people[:2]] == [
+        ("c1", "SP", False), ("c1", "RJ", True)]
     paid = {r["payment_key"]: r for r in rows(tables.read_mart(spark, f"{root}/dim_payments"))}
     assert paid["o1"]["payment_transactions_count"] == 2 and paid["o1"]["uses_credit_card"]
 
