@@ -113,7 +113,7 @@ def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
              .withColumn("__owner", F.floor(F.col("__bucket") * owners / F.lit(directory[-1] + 1)))
              .repartition(owners, "__owner")
              .sortWithinPartitions("__bucket", "__h", "__norm").drop("__owner", "__slot"))
-    return s.settle(owned.mapInArrow(_chain, s.extended(owned, __link="int")), "index", "__bucket")
+    return s.settle(s.map_arrow(owned, _chain, s.extended(owned, __link="int")), "index", "__bucket")
 
 
 def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",

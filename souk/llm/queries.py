@@ -7,12 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact, simhash
+from souk.llm import exact, quality, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(mod: int, rest: int):
+    """Rows whose hash of the key, as text, leaves that remainder; they never teach. Null: they may."""
+    return lambda key: F.coalesce(F.crc32(key.cast("string")) % mod == rest, F.lit(False))
+
+
+def predictions(scored: DataFrame, out: Callable) -> DataFrame:
+    return scored.select("doc_id", out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+                         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(3, 1)
+    model = quality.train_on(docs, table(spark, sf_dir, "labels"), lambda key: ~out(key))
+    return predictions(quality.score_quality(docs, model), out)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(5, 0)
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"), lambda key: ~out(key))
+    return predictions(toxicity.score_toxicity(docs, model), out)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.mark_copies(docs, carry=False).select(
@@ -39,7 +63,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op10_simhash": op10_simhash,
 }
 

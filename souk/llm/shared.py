@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow by a function of this package, which Python workers are first given."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="souk-")  # on the driver, which serves it to all executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/souk.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> int:
     """Shuffle partitions of the session, for exchanges whose number of tasks must not shrink."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -53,7 +77,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
                 out = each(batch)
                 if out is not None:
                     yield out
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -67,6 +91,20 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def in_parts(texts: list, each: Callable[[list], np.ndarray], size: int = 8 << 20) -> np.ndarray:
+    """Apply to runs of texts of some `size` characters together, so that memory stays bounded."""
+    out, part, held = [], [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= size:
+            out.append(each(part))
+            part, held = [], 0
+    if part:
+        out.append(each(part))
+    return np.concatenate(out)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit numbers as Spark's long."""
     return np.ascontiguousarray(values, np.uint64).view(np.int64)

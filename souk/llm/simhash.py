@@ -217,7 +217,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = LIMIT) -> Da
     # Sort by the halves, so that the order is that of the unsigned rank.
     nodes = (nodes.repartition(s.spread(prints), "mask", "pattern").withColumn("g", gray)
              .sortWithinPartitions("mask", "pattern", F.shiftrightunsigned("g", 1), F.col("g").bitwiseAND(F.lit(1))))
-    return nodes.select("mask", "pattern", "fp").mapInArrow(_star_links(max_bits), LINK)
+    return s.map_arrow(nodes.select("mask", "pattern", "fp"), _star_links(max_bits), LINK)
 
 
 # --- components -----------------------------------------------------------------------------------
