@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import exact, quality, simhash, toxicity
+from souk.llm import decontaminate, exact, quality, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(toxicity.score_toxicity(docs, model), out)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking texts only: one row per text and item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("__leaks").alias("leak")).select(
+        "doc_id", F.col("leak.item").alias("item_id"), F.round("leak.score", 6).alias("bm25"),
+        F.round("leak.question", 6).alias("question_overlap"), F.round("leak.answer", 6).alias("answer_overlap"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.mark_copies(docs, carry=False).select(
@@ -64,6 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op10_simhash": op10_simhash,
