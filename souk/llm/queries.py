@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, exact, quality, simhash, toxicity
+from souk.llm import decontaminate, exact, quality, repair, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,12 @@ from rows window same as (partition by text_sha256)
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = repair.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return repair.read_ids(shards).withColumnRenamed("key", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_groups(docs).select(
@@ -76,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_token_files": op7_token_files,
     "op10_simhash": op10_simhash,
 }
 
