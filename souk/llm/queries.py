@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, exact, quality, repair, simhash, toxicity
+from souk.llm import decontaminate, exact, pages, quality, repair, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ from rows window same as (partition by text_sha256)
 """
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = repair.write_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_main_text": op6_main_text,
     "op7_token_files": op7_token_files,
     "op10_simhash": op10_simhash,
 }
