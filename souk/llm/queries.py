@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import chat, decontaminate, exact, pages, quality, repair, simhash, toxicity
+from souk.llm import chat, decontaminate, exact, pages, quality, recompress, repair, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(shards).withColumnRenamed("key", "doc_id")
 
 
+def op9_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompress.remove_repeats(docs).select(
+        F.col("__id").alias("doc_id"), F.col("__n_words").alias("n_words"),
+        F.col("__n_removed").alias("n_removed"), F.col("__sha").alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_groups(docs).select(
@@ -121,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
     "op7_token_files": op7_token_files,
+    "op9_repeated_runs": op9_repeated_runs,
     "op10_simhash": op10_simhash,
 }
 

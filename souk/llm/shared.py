@@ -37,7 +37,16 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
