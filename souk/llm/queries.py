@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import chat, decontaminate, exact, pages, quality, recompress, repair, simhash, toxicity
+from souk.llm import bpe, chat, decontaminate, exact, pages, quality, recompress, repair, simhash, toxicity
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+QUALITY_HELD_OUT, TOXIC_HELD_OUT = (3, 1), (5, 0)  # (divisor, remainder) of the rows that never teach
+
+
 def held_out(mod: int, rest: int):
     """Rows whose hash of the key, as text, leaves that remainder; they never teach. Null: they may."""
     return lambda key: F.coalesce(F.crc32(key.cast("string")) % mod == rest, F.lit(False))
@@ -26,14 +29,14 @@ def predictions(scored: DataFrame, out: Callable) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = held_out(3, 1)
+    out = held_out(*QUALITY_HELD_OUT)
     model = quality.train_on(docs, table(spark, sf_dir, "labels"), lambda key: ~out(key))
     return predictions(quality.score_quality(docs, model), out)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = held_out(5, 0)
+    out = held_out(*TOXIC_HELD_OUT)
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"), lambda key: ~out(key))
     return predictions(toxicity.score_toxicity(docs, model), out)
 
@@ -106,6 +109,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_ids(shards).withColumnRenamed("key", "doc_id")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                              public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
+
+
 def op9_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return recompress.remove_repeats(docs).select(
@@ -128,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
     "op7_token_files": op7_token_files,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_runs": op9_repeated_runs,
     "op10_simhash": op10_simhash,
 }
