@@ -147,7 +147,7 @@ class Page:
             gone = False
         self.parent.append(parent)
         self.tag.append(name)
-        self.label.append(label)
+        self.label.append(name if name in ("html", "body") else label)  # their classes vary by page
         self.skip.append(gone)
 
     def _up(self, node: int):
@@ -174,7 +174,8 @@ class Page:
         """Of each element, a hash of the generalised labels of its block-level chain."""
         out = [0] * len(self.tag)
         for node in range(1, len(self.tag)):
-            above = out[self.parent[node]]
+            # Pages of a host may leave out html and body, so chains begin below them.
+            above = 0 if self.tag[self.parent[node]] in ("html", "body") else out[self.parent[node]]
             out[node] = (xxhash.xxh64_intdigest(f"{above:x}>{self.label[node]}") >> 1
                          if self.tag[node] in BLOCK else above)
         return out
