@@ -36,6 +36,7 @@ KNOWN = 1_000_000    # words whose ids a worker keeps
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIIQQI")  # magic, documents, rules, first nonterminal, width, symbols, ids, vocabulary
 _BREAK = re.compile(r"(?<=\S)(?=[ \n])")
+_INNER = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-^`{-~])|(?<=\n)(?=\S)")
 _PLAIN = re.compile(r"\s\s|[^\S \n]|\x00|^\s")
 
 
@@ -45,7 +46,8 @@ class Encoder:
     """Ids of texts by a tokenizer file; pieces met before are not encoded again.
 
     A byte-level tokenizer never joins a character that is not white space with white space after
-    it, so a text may be cut there without a change to its ids.
+    it, so a text may be cut there without a change to its ids; nor a letter with ASCII punctuation
+    after it other than the apostrophe, nor a line end with a character after it that is no space.
     """
 
     def __init__(self, path: str):
@@ -55,6 +57,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -68,11 +71,15 @@ class Encoder:
         cut = [self.pieces(t) for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
-        new = sorted({p for own in cut for p in own}.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.inner.clear()
+        new = {p: _INNER.split(p) for p in {p for own in cut for p in own}.difference(self.known)}
+        parts = sorted({x for own in new.values() for x in own}.difference(self.inner))
+        for at in range(0, len(parts), 20_000):
+            some = parts[at:at + 20_000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.inner[part] = np.array(found.ids, "<u4").tobytes()
+        for piece, own in new.items():
+            self.known[piece] = b"".join(map(self.inner.__getitem__, own))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4") for own in cut]
 
 
