@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,23 @@ def newer_than(source: DataFrame, target: DataFrame | None, column: str,
     return source.filter(F.col(column) > F.lit(mark).cast("timestamp_ntz").cast("timestamp"))
 
 
+def differing(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of `fresh` that the stored table lacks or holds with another content.
+
+    Both are unique on the key, so the join has no popular key.
+    """
+    held = stored.select(*(F.col(c).alias(f"_held_{c}") for c in fresh.columns))
+    same = [F.col(key) == F.col(f"_held_{key}")]
+    same += [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in fresh.columns if c != key]
+    return fresh.join(held, reduce(Column.__and__, same), "left_anti")
+
+
+def not_older(rows: DataFrame, stored: DataFrame, key: str, stamp: str) -> DataFrame:
+    """Rows whose key is new or whose stamp is not before that of the stored row."""
+    held = stored.select(F.col(key).alias("_key"), F.col(stamp).alias("_stamp"))
+    return rows.join(held, (F.col(key) == F.col("_key")) & (F.col("_stamp") > F.col(stamp)), "left_anti")
+
+
 def changed_keys(changed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The distinct keys of changed rows."""
     return changed.select(*keys).distinct()

@@ -182,7 +182,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     if key not in _warehouses:
         root = f"{work_folder(spark)}/marts/{len(_warehouses)}"
         _warehouses[key] = Warehouse(spark, raw_tables(spark, sf_dir), region_seed(spark, sf_dir),
-                                     root, grain="year")
+                                     root, grain="year", fill=True)
     return _warehouses[key]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import ChainMap
 from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -28,22 +30,24 @@ STEPS = (
 # fact. Other staging tables are computed where they are used.
 STORED = ("stg_orders", "stg_customers", "order_facts")
 
-# Mart -> staging table whose new rows it merges; aggregating marts also name the grouping key.
+# Mart -> staging table it follows row by row, so that arriving rows alone can be merged.
 ROW_BY_ROW = {"dim_orders": "stg_orders", "dim_products": "stg_products",
               "dim_sellers": "stg_sellers", "fact_sales": "stg_order_items"}
-AGGREGATED = {"dim_customers": ("stg_customers", "customer_unique_id"),
-              "dim_payments": ("stg_payments", "order_id"),
-              "dim_reviews": ("stg_order_reviews", "order_id")}
 
 
 class Warehouse(Mapping[str, DataFrame]):
-    """Tables by name. With a root folder each mart is written on first use and read from there."""
+    """Tables by name. With a root folder marts are read from there; looking one up writes nothing.
+
+    `build`, `refresh` and `store` write. A mart that was never written raises LookupError, unless
+    `fill` asks for it to be written on first use.
+    """
 
     def __init__(self, spark: SparkSession, raw: Mapping[str, DataFrame], regions: DataFrame,
-                 root: str | None = None, grain: str | None = "day") -> None:
+                 root: str | None = None, grain: str | None = "day", fill: bool = False) -> None:
         self.spark, self.raw, self.regions = spark, raw, regions
-        self.root, self.grain = root, grain
+        self.root, self.grain, self.fill = root, grain, fill
         self._frames: dict[str, DataFrame] = {}
+        self._given: dict[str, DataFrame] = {}
 
     def __iter__(self) -> Iterator[str]:
         yield from STAGING
@@ -64,21 +68,37 @@ class Warehouse(Mapping[str, DataFrame]):
     def _stored(self, name: str) -> DataFrame:
         if self.root is None or (name not in MARTS and name not in STORED):
             return self.define(name)
+        if self.is_stored(name):
+            return self._opened(name)
+        if not self.fill:
+            raise LookupError(f"{name} is not in {self.root}; build the warehouse first")
         return self.store(name)
 
+    def _opened(self, name: str) -> DataFrame:
+        """A stored table as its plan describes it: files older than a column give NULL for it."""
+        plans = Warehouse(self.spark, self.raw, self.regions)
+        try:
+            schema = plans.define(name).schema
+        except KeyError:  # opened without its raw tables: as the files have it
+            schema = None
+        if name in MARTS:
+            return self._read(MARTS[name], schema)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(self.path(name))
+
     def is_stored(self, name: str) -> bool:
-        return self.root is not None and _has_files(self.spark, self.path(name))
+        return self.root is not None and tables.is_complete(self.spark, self.path(name))
 
     def store(self, name: str) -> DataFrame:
         """Write a table and read it back from there, whatever its kind."""
         frame, path = self.define(name), self.path(name)
         if name in MARTS:
             tables.write_mart(frame, path, MARTS[name], self.grain)
-            return self.adopt(name, self._read(MARTS[name], frame.schema))
+            return self._use(name, self._read(MARTS[name], frame.schema))
         frame.write.mode("overwrite").parquet(path)
-        return self.adopt(name, self.spark.read.schema(frame.schema).parquet(path))
+        return self._use(name, self.spark.read.schema(frame.schema).parquet(path))
 
-    def _read(self, mart: Mart, schema: T.StructType) -> DataFrame:
+    def _read(self, mart: Mart, schema: T.StructType | None) -> DataFrame:
         return tables.read_mart(self.spark, self.path(mart.name), schema,
                                 tables.is_partitioned(mart, self.grain))
 
@@ -110,74 +130,71 @@ class Warehouse(Mapping[str, DataFrame]):
         """Write every mart. Jobs of one step run side by side, so short stages share the cluster."""
         with ThreadPoolExecutor(threads) as pool:
             for step in STEPS:
-                list(pool.map(self.__getitem__, step))
+                list(pool.map(self.store, step))
         return self.marts()
 
     def marts(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in MARTS}
 
-    def _new_rows(self, table: str, raw: DataFrame, mart: Mart, target: DataFrame) -> DataFrame:
-        """Staged rows stamped after the target's newest.
+    @contextmanager
+    def _inputs(self) -> Iterator[Mapping[str, DataFrame]]:
+        """Tables to define marts over as the raw tables now are.
 
-        The raw rows are filtered, so old ones are not read. That equals filtering the staged
-        rows: the newest version of a key is after the mark exactly if any version is.
+        Marts are the stored ones, brought up before those that need them. Intermediate tables are
+        written to a folder of this run alone, which is deleted at its end.
         """
-        build, _ = STAGING[table]
-        return build(incremental.newer_than(raw, target, model.LOAD_STAMP, mart.stamp))
+        run = Run(self, f"{self.root}/_runs/{uuid4().hex}")
+        try:
+            yield run
+        finally:
+            tables.delete(self.spark, run.folder)
 
-    def changes(self, name: str, target: DataFrame | None, raw: DataFrame | None = None) -> DataFrame:
-        """Rows to merge into a mart: those that raw rows newer than the target give rise to.
+    def refresh(self, name: str) -> DataFrame:
+        """Bring a stored mart to what its raw tables now give; the first run is a full build.
 
-        Dimensions that aggregate (customers, payments, reviews) are rebuilt from all rows of
-        the keys that changed, so the merged table equals a full rebuild. `raw` stands in for
-        the mart's raw table when only arriving rows are at hand.
+        What is written is found by comparing rows, not stamps: a row that came late, carries the
+        stamp of an earlier one, or changed because of another table (an order's payment, review,
+        customer or date) is merged like any other, and without news no file changes. So that a
+        fact's order keeps one customer, day, payment and review, all its items change together.
         """
-        if target is None or name == "dim_date":
-            return self.define(name)
-        mart = MARTS[name]
-        table = ROW_BY_ROW[name] if name in ROW_BY_ROW else AGGREGATED[name][0]
-        new_rows = self._new_rows(table, self.raw[STAGING[table][1]] if raw is None else raw, mart, target)
-        if name in AGGREGATED:
-            key = AGGREGATED[name][1]
-            keys = self._written(incremental.changed_keys(new_rows, [key]), f"_staging/{name}_keys")
-            return self._define_with(name, {table: incremental.rows_of_keys(self[table], keys, [key])})
-        if name != "fact_sales":
-            return self._define_with(name, {table: new_rows})
-        keys = self._written(incremental.changed_keys(new_rows, ["order_id"]), "_staging/fact_sales_keys")
-        orders = incremental.rows_of_keys(self["stg_orders"], keys, ["order_id"])
-        order_side = self._written(self._define_with("order_facts", {"stg_orders": orders}),
-                                   "_staging/fact_sales_orders")
-        return self._define_with(name, {table: new_rows, "order_facts": order_side})
-
-    def _define_with(self, name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
-        return self.define(name, ChainMap(inputs, self))
-
-    def _written(self, df: DataFrame, folder: str) -> DataFrame:
-        """A frame by way of a table: its size is then known to the planner."""
-        path = self.path(folder)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        with self._inputs() as inputs:
+            return self._refresh(name, inputs)
 
-    def refresh(self, name: str) -> DataFrame:
-        """Merge what is new into the stored mart; the first run is a full build."""
-        return self._bring_up(name, self.define(name), None)
+    def _refresh(self, name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
+        fresh, mart, path = self.define(name, inputs), MARTS[name], self.path(name)
+        if not self.is_stored(name):
+            tables.write_mart(fresh, path, mart, self.grain)
+        else:
+            tables.finish_publish(self.spark, path, mart, self.grain)
+            rows = incremental.differing(fresh, self._read(mart, fresh.schema), mart.key)
+            self._merge(mart, rows)
+        return self._use(name, self._read(mart, fresh.schema))
+
+    def _merge(self, mart: Mart, rows: DataFrame) -> None:
+        tables.merge_mart(self.spark, self.path(mart.name), rows, mart,
+                          f"{self.root}/_staging/{mart.name}-{uuid4().hex}", self.grain)
 
     def merge_rows(self, name: str, raw: DataFrame) -> DataFrame:
-        """Merge arriving raw rows into a stored mart that follows them one by one."""
-        table = ROW_BY_ROW[name]
-        return self._bring_up(name, self._define_with(name, {table: STAGING[table][0](raw)}), raw)
-
-    def _bring_up(self, name: str, full: DataFrame, raw: DataFrame | None) -> DataFrame:
-        path, mart = self.path(name), MARTS[name]
-        if not _has_files(self.spark, path):
-            tables.write_mart(full, path, mart, self.grain)
+        """Merge arriving raw rows into a stored mart that follows them one by one.
+
+        A row enters if its key is new or it is not older than the stored row of its key, whatever
+        else has been merged before.
+        """
+        table, mart, path = ROW_BY_ROW[name], MARTS[name], self.path(name)
+        rows = self.define(name, ChainMap({table: STAGING[table][0](raw)}, self._given, self))
+        if not self.is_stored(name):
+            tables.write_mart(rows, path, mart, self.grain)
         else:
-            rows = self.changes(name, self._read(mart, full.schema), raw)
-            tables.merge_mart(self.spark, path, rows, mart, f"{self.root}/_staging/{name}", self.grain)
-        return self.adopt(name, self._read(mart, full.schema))
+            tables.finish_publish(self.spark, path, mart, self.grain)
+            self._merge(mart, incremental.not_older(rows, self._read(mart, rows.schema), mart.key, mart.stamp))
+        return self._use(name, self._read(mart, rows.schema))
 
     def adopt(self, name: str, frame: DataFrame) -> DataFrame:
-        """Use this frame for a table from now on."""
+        """Use this frame for a table from now on, also in refreshes."""
+        self._given[name] = frame
+        return self._use(name, frame)
+
+    def _use(self, name: str, frame: DataFrame) -> DataFrame:
         self._frames[name] = frame
         return frame
 
@@ -193,26 +210,44 @@ class Warehouse(Mapping[str, DataFrame]):
         mart = Mart(name, history.VERSION, history.TO, (key,), None)
         full = history.first_versions(load, key, model.LOAD_STAMP)
         grain = self.grain or "year"
-        if not _has_files(self.spark, path):
+        if not tables.is_complete(self.spark, path):
             tables.write_mart(full, path, mart, grain)
         else:
+            tables.finish_publish(self.spark, path, mart, grain)
             stored = tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD)
             fresh, ended = history.changed_versions(stored, load, key, model.LOAD_STAMP)
             tables.merge_mart(self.spark, path, fresh.unionByName(ended), mart,
-                              f"{self.root}/_staging/{name}", grain)
-        return self.adopt(name, tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD))
+                              f"{self.root}/_staging/{name}-{uuid4().hex}", grain)
+        return self._use(name, tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD))
 
     def refresh_all(self) -> None:
         """A daily run: histories of the raw tables, then every mart."""
         for entity in model.SNAPSHOTS:
             self.snapshot(entity)
-        for name in MARTS:
-            self.refresh(name)
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        with self._inputs() as inputs:
+            for name in MARTS:
+                self._refresh(name, inputs)
+
+
+class Run(dict):
+    """Inputs of one refresh, by name, made when they are first asked for."""
+
+    def __init__(self, warehouse: Warehouse, folder: str) -> None:
+        super().__init__()
+        self.warehouse, self.folder = warehouse, folder
+
+    def __missing__(self, name: str) -> DataFrame:
+        w = self.warehouse
+        if name in w._given:
+            return w._given[name]
+        if name in MARTS:  # refreshed earlier in this run, or as stored
+            return w[name]
+        frame = w.define(name, self)
+        if name in STORED:
+            frame.write.parquet(f"{self.folder}/{name}")
+            frame = w.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}")
+        self[name] = frame
+        return frame
 
 
 def from_raw_tables(spark: SparkSession, places: Mapping[str, str], root: str,

@@ -921,29 +921,90 @@ for _entity, _key, _column, _split in (
                      history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
 
 
-def _two_loads(mart: str, entity: str, keep: tuple[str, ...]):
-    """A stored mart after two refreshes: raw rows up to the cut, then all of them."""
+def _early(df, stamp=model.LOAD_STAMP):
+    return df.filter(F.col(stamp) < F.lit(CUT).cast("timestamp"))
+
+
+def _late(df, stamp=model.LOAD_STAMP):
+    return df.filter(F.col(stamp) >= F.lit(CUT).cast("timestamp"))
+
+
+def _all(df):
+    return df
+
+
+def _loads_of(mart: str, entities: tuple[str, ...], keep: tuple[str, ...] = (), first=_early,
+              first_kept=None, reopen: bool = False):
+    """A stored mart after two refreshes and one without news.
+
+    The first load has the rows of `entities` that `first` lets through and, of the tables it
+    takes as they are, those that `first_kept` lets through; the second has all.
+    """
     def run(spark, d):
         base = marts(spark, d)
         raw = tb.raw_tables(spark, d)
         root = scratch(spark, d, f"refresh_{mart}_{uuid4().hex}")
-        before = raw[entity].filter(F.col(model.LOAD_STAMP) < F.lit(CUT).cast("timestamp"))
-        for version in (before, raw[entity]):
-            w = Warehouse(spark, {entity: version}, base.regions, root, "year")
+        for cut, cut_kept in ((first, first_kept or {}), (_all, {}), (_all, {})):
+            w = Warehouse(spark, {e: cut(raw[e]) for e in entities}, base.regions, root, "year")
             for name in keep:
-                w.adopt(name, base[name])
+                w.adopt(name, cut_kept.get(name, _all)(base[name]))
             stored = w.refresh(mart)
+        if reopen:
+            stored = Warehouse(spark, {}, base.regions, root, "year")[mart]
         return stored.drop("period")
     return run
 
 
-for _mart, _entity, _keep in (
-        ("dim_orders", "orders", ()),
-        ("dim_payments", "payments", ()),
-        ("dim_reviews", "order_reviews", ("stg_orders",)),
-        ("fact_sales", "order_items", ("stg_orders", "stg_customers", "dim_payments", "dim_reviews"))):
-    register(f"w1_w2_refresh_{_mart}", _two_loads(_mart, _entity, _keep),
-             Q.query(f"select {shown(TABLE_COLUMNS[_mart])} from {_mart}"))
+def _refresh_query(key: str, mart: str, *arguments, **options) -> None:
+    register(key, _loads_of(mart, *arguments, **options),
+             Q.query(f"select {shown(TABLE_COLUMNS[mart])} from {mart}"))
+
+
+ORDER_SIDE = ("stg_orders", "stg_customers", "dim_payments", "dim_reviews")
+for _mart, _entities, _keep in (
+        ("dim_orders", ("orders",), ()),
+        ("dim_payments", ("payments",), ()),
+        ("dim_customers", ("customers",), ()),
+        ("dim_sellers", ("sellers",), ()),
+        ("dim_products", ("products", "product_category_name_translation"), ()),
+        ("dim_date", ("orders",), ()),
+        ("dim_reviews", ("order_reviews",), ("stg_orders",)),
+        ("fact_sales", ("order_items",), ORDER_SIDE)):
+    _refresh_query(f"w1_w2_refresh_{_mart}", _mart, _entities, _keep)
+# Rows that come in the second load with older stamps than all of the first.
+_refresh_query("w1_late_rows", "dim_orders", ("orders",), first=_late)
+_refresh_query("w1_w2_refresh_fact_late_orders", "fact_sales", ("order_items",), ORDER_SIDE, first=_all,
+               first_kept={"stg_orders": lambda df: _early(df, "modified_at")})
+_refresh_query("w1_w2_refresh_fact_late_reviews", "fact_sales", ("order_items",), ORDER_SIDE, first=_all,
+               first_kept={"dim_reviews": lambda df: df.limit(0), "dim_payments": lambda df: _early(df, "modified_at")})
+_refresh_query("s6_reopened_mart", "dim_orders", ("orders",), reopen=True)
+
+
+@query("w2_retry", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")
+def _(spark, d):
+    """A merge that stops after its journal is written and the first files are replaced; then the next run."""
+    raw = tb.raw_tables(spark, d)["orders"]
+    root = scratch(spark, d, f"retry_{uuid4().hex}")
+    seed, mart = tb.region_seed(spark, d), model.MARTS["dim_orders"]
+    stored = Warehouse(spark, {"orders": _early(raw)}, seed, root, "year").refresh("dim_orders")
+    rows = Warehouse(spark, {"orders": raw}, seed).define("dim_orders")
+    path, staging = f"{root}/dim_orders", f"{root}/_staging/stopped"
+    touched = tables.stage_merge(spark, path, incremental.differing(rows, stored, mart.key), mart, staging, "year")
+    tables.write_journal(spark, path, staging, touched)
+    tables.delete(spark, f"{path}/period={touched[0]}")
+    return Warehouse(spark, {"orders": raw}, seed, root, "year").refresh("dim_orders").drop("period")
+
+
+@query("w2_stream_late_file", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")
+def _(spark, d):
+    """The file with the older stamps arrives last."""
+    raw = tb.raw_tables(spark, d)["orders"]
+    folder = scratch(spark, d, f"stream_{uuid4().hex}")
+    w = Warehouse(spark, {"orders": raw}, tb.region_seed(spark, d), f"{folder}/marts", "year")
+    for arriving in (_late(raw), _early(raw)):
+        arriving.write.mode("append").parquet(f"{folder}/landing")
+        merge_arrivals(w, "dim_orders", f"{folder}/landing", raw.schema, f"{folder}/seen").awaitTermination()
+    return w["dim_orders"].drop("period")
 
 
 @query("w2_stream_dim_orders", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 
@@ -72,9 +73,11 @@ def is_partitioned(mart: Mart, grain: str | None) -> bool:
 
 
 def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, staging: str,
-                grain: str | None = "day") -> list[str]:
+                grain: str | None = "day") -> list[str] | None:
     """Write the merged rows of every period the upsert changes to `staging`; list those periods.
 
+    None if there is nothing to merge.
+
     The new rows are written first: they are used three times, and once their size is known a
     small increment is broadcast instead of shuffling the stored rows. Periods are those of the
     new rows and those now holding an old copy of a merged key; the latter are found by a scan
@@ -82,6 +85,8 @@ def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, s
     """
     source.write.mode("overwrite").parquet(f"{staging}/rows")
     rows = spark.read.schema(source.schema).parquet(f"{staging}/rows")
+    if rows.isEmpty():
+        return None
     merged = f"{staging}/merged"
     stored = read_mart(spark, path, source.schema, is_partitioned(mart, grain))
     if not is_partitioned(mart, grain):
@@ -111,18 +116,81 @@ def publish_merge(spark: SparkSession, path: str, mart: Mart, staging: str, touc
 
 def merge_mart(spark: SparkSession, path: str, source: DataFrame, mart: Mart, staging: str,
                grain: str | None = "day") -> None:
-    """Upsert `source` into a stored mart, rewriting only the periods that change."""
+    """Upsert `source` into a stored mart, rewriting only the periods that change.
+
+    `staging` is a folder of this merge alone. Before anything of the mart is replaced, a journal
+    beside it names the staged rows; a run that stops half way leaves it, and the next merge first
+    replaces the same periods again. Without rows to merge no file changes.
+    """
+    finish_publish(spark, path, mart, grain)
     touched = stage_merge(spark, path, source, mart, staging, grain)
-    publish_merge(spark, path, mart, staging, touched, grain)
+    if touched is not None:
+        write_journal(spark, path, staging, touched)
+        finish_publish(spark, path, mart, grain)
+    delete(spark, staging)
+
+
+def write_journal(spark: SparkSession, path: str, staging: str, touched: list[str]) -> None:
+    """From here on the staged rows will be published, by this run or the next."""
+    _write_text(spark, _journal(path), json.dumps({"staging": staging, "touched": touched}))
+
+
+def finish_publish(spark: SparkSession, path: str, mart: Mart, grain: str | None = "day") -> None:
+    """Carry out the publish that the mart's journal names, if there is one."""
+    journal = _read_text(spark, _journal(path))
+    if journal is not None:
+        plan = json.loads(journal)
+        publish_merge(spark, path, mart, plan["staging"], plan["touched"], grain)
+        delete(spark, _journal(path))
+        delete(spark, plan["staging"])
+
+
+def _journal(path: str) -> str:
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_journal/{name}.json"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, fs = _place(spark, path)
+    fs.delete(where, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A full write has ended here: Spark leaves its mark last. A pending journal also counts."""
+    return any(fs.exists(where) for where, fs in (_place(spark, f"{path}/_SUCCESS"), _place(spark, _journal(path))))
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written aside and renamed, so that a reader sees all of it or none."""
+    aside, fs = _place(spark, f"{path}.new")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    where, _ = _place(spark, path)
+    if not fs.rename(aside, where):
+        raise OSError(f"cannot write {path}")
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    where, fs = _place(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
 
 
 def _drop_periods(spark: SparkSession, path: str, periods: list[str]) -> None:
     """Remove periods whose last row has moved elsewhere."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for p in periods:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{PERIOD}={p}"), True)
+        delete(spark, f"{path}/{PERIOD}={p}")
 
 
 def table_info(tables: Mapping[str, DataFrame]) -> DataFrame:

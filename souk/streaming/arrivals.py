@@ -1,8 +1,8 @@
 """Merge newly arrived raw files into a stored mart.
 
 The daily increment in Structured Streaming terms: the checkpoint remembers which files were
-merged, each micro-batch is filtered by the mart's high-water mark and upserted on its key, so a
-batch that is repeated after a failure changes nothing.
+merged, and each micro-batch is upserted on its key where it is not older than the stored row. No mark
+stands in the way of a file that comes late, and a batch repeated after a failure gives the same rows.
 """
 
 from __future__ import annotations

@@ -68,4 +68,4 @@ def raw_shop(raw):
 def shop(spark, raw, root=None, grain=None):
     tables = raw_shop(raw)
     assert set(tables) | {"geolocation"} == set(model.ENTITIES)
-    return Warehouse(spark, tables, read_seed(spark), root, grain)
+    return Warehouse(spark, tables, read_seed(spark), root, grain, fill=True)
