@@ -30,6 +30,7 @@ WINDOW = 13
 ROUNDS = 2          # rounds that name pairs, after the one that names runs
 UNIT = 3            # interior symbols of a key
 KNOWN = 1_000_000   # words a task keeps at a time
+SPAN = 1 << 12      # a run of windows of one key is cut where it is longer
 LAST = (1 << 63) - 1  # order of a null key: after all others
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 0xFFFFFFFFFFFFFFFF
@@ -195,21 +196,17 @@ def _sizes(words: list[list[bytes]]) -> np.ndarray:
 
 
 def _occurrences(batch: pa.RecordBatch, at: int, words: list[list[bytes]], names: Names):
-    """Runs of neighbouring windows with one key: doc, key, first window, how many."""
+    """Runs of neighbouring windows with one key: doc, key, and first window * SPAN + how many."""
     found = Windows(names.numbers(words), _sizes(words))
     keys = found.keys()
     if not len(keys):
-        return [[]] * 4
+        return [[]] * 3
     doc = batch.column("doc").slice(at, len(words)).to_numpy()
-    head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (found.doc[1:] != found.doc[:-1])]))
+    begins = np.searchsorted(found.doc, np.arange(len(words)))
+    place = np.arange(len(keys)) - begins[found.doc]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) | (place % (SPAN - 1) == 0))
     count = np.diff(np.concatenate([head, [len(keys)]]))
-    starts = np.concatenate([[0], np.cumsum(_sizes(words))[:-1]])
-    return (doc[found.doc[head]], s.signed(keys[head]),
-            (found.first[head] - starts[found.doc[head]]).astype(np.int32), count.astype(np.int32))
-
-
-def _spans_of(batch: pa.RecordBatch, at: int, n: int) -> list[list[dict]]:
-    return batch.column("spans").slice(at, n).to_pylist()
+    return doc[found.doc[head]], s.signed(keys[head]), place[head] * SPAN + count
 
 
 def _candidates(batch: pa.RecordBatch, at: int, words: list[list[bytes]], names: Names):
@@ -219,9 +216,10 @@ def _candidates(batch: pa.RecordBatch, at: int, words: list[list[bytes]], names:
     windows = np.bincount(found.doc, minlength=len(words))
     begins = np.concatenate([[0], np.cumsum(windows)[:-1]])
     marks = np.zeros(len(found.first) + 1, np.int64)
-    for i, spans in enumerate(_spans_of(batch, at, len(words))):
-        low = np.minimum([x["start"] for x in spans], windows[i])
-        high = np.minimum([x["start"] + x["n"] for x in spans], windows[i])
+    for i, spans in enumerate(batch.column("spans").slice(at, len(words))):
+        spans = spans.values.to_numpy()
+        low = np.minimum(spans // SPAN, windows[i])
+        high = np.minimum(spans // SPAN + spans % SPAN, windows[i])
         np.add.at(marks, begins[i] + low, 1)
         np.add.at(marks, begins[i] + high, -1)
     which = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
@@ -248,21 +246,23 @@ def _removed(words: list[list[bytes]], cuts: list[list[int] | None], names: Name
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, cut): for each key the digests of its windows that start under a smaller key too."""
     rows = _texts(docs, key, text)
-    occurrences = s.settle(s.map_arrow(rows, _each_part(_occurrences, ["doc", "key", "start", "n"]),
-                                       "doc long, key long, start int, n int"), "occurrences")
-    several = (occurrences.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-               .where("low < high").select("key"))
+    occurrences = s.settle(s.map_arrow(rows, _each_part(_occurrences, ["doc", "key", "span"]),
+                                       "doc long, key long, span long"), "occurrences")
+    several = s.settle(occurrences.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                       .where("low < high").select("key"), "several")
     spans = s.settle(occurrences.join(several, "key").groupBy("doc")
-                     .agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+                     .agg(F.collect_list("span").alias("spans")), "spans")
     s.release(occurrences)
+    s.release(several)
     windows = s.settle(s.map_arrow(rows.join(spans, "doc"), _each_part(_candidates, ["h1", "h2", "doc"]),
                                    "h1 long, h2 int, doc long"), "windows")
     s.release(spans)
-    first = (windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-             .where("low < high").select("h1", "h2", "low"))
+    first = s.settle(windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                     .where("low < high").select("h1", "h2", "low"), "first")
     cuts = s.settle(windows.join(first, ["h1", "h2"]).where("doc > low").groupBy("doc")
                     .agg(F.collect_set("h1").alias("cut")), "cuts")
     s.release(windows)
+    s.release(first)
     return cuts
 
 

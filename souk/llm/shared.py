@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -37,6 +38,7 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # its cleaner runs beside us
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
