@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk.session import work_folder
+
 SAMPLE_ROWS = range(5, 101)
 MAX_CATEGORIES = 20
-MAX_TEXT_COLUMNS = 3
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def sample_rows(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
@@ -28,38 +32,75 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
-def numeric_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+def numeric_profile(df: DataFrame) -> DataFrame:
     """Count, mean, std, min, quartiles and max of every numeric column, one row each.
 
-    Exact quartiles keep every distinct value in one buffer, so they are for samples; a whole
-    table gets the bounded-size sketch instead.
+    Quartiles are exact and interpolated, for samples and whole tables alike; see `quantiles`.
     """
-    quartile = F.percentile if exact else F.percentile_approx
     columns = numeric_columns(df)
-    stats = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "q25": lambda c: quartile(c, F.lit(0.25)),
-        "q50": lambda c: quartile(c, F.lit(0.5)),
-        "q75": lambda c: quartile(c, F.lit(0.75)),
-        "max": F.max,
-    }
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*(f(F.col(c).cast("double")).alias(f"{c}__{s}")
                     for c in columns for s, f in stats.items()))
     rows = [F.struct(F.lit(c).alias("column_name"),
                      *(F.col(f"{c}__{s}").alias(s) for s in stats)) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
+    found = quantiles(df, columns, QUARTILES).groupBy("column_name").agg(*(
+        F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(f"q{round(q * 100)}") for q in QUARTILES))
+    return (wide.select(F.inline(F.array(*rows))).join(F.broadcast(found), "column_name", "left")
+            .select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Counts per value of the first text columns that have at most 20 distinct values.
+def quantiles(df: DataFrame, columns: list[str], shares: Sequence[float]) -> DataFrame:
+    """(column_name, q, quantile): exact quantiles of numeric columns, interpolated between ranks.
 
-    All columns are counted in one pass. The gate is a second small aggregate, not a window, so
+    Values are counted first, so that a value with a third of all rows is one row; the counts are
+    sorted over all tasks by range. The totals of the ranges, a few rows for each task, say in which
+    range a rank falls and what lies before it. Only there ranks are summed up, range by range.
+    """
+    spark = df.sparkSession
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+                      for c in columns))
+    counts = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{work_folder(spark)}/quantiles/{uuid4().hex}"
+    (counts.repartitionByRange(ranges, "column_name", "value")
+     .withColumn("part", F.spark_partition_id()).write.parquet(path))
+    ranged = spark.read.schema("column_name string, value double, n long, part int").parquet(path)
+    totals = ranged.groupBy("column_name", "part").agg(F.sum("n").alias("n")).collect()
+    before, wanted = [], []
+    for column in columns:
+        seen = 0
+        parts = sorted((r["part"], r["n"]) for r in totals if r["column_name"] == column)
+        total = sum(n for _, n in parts)
+        ranks = {}
+        for q in shares if total else ():
+            at = q * (total - 1)
+            low = int(at)
+            ranks[q] = {low: 1 - (at - low)} | ({low + 1: at - low} if at > low else {})
+        for part, n in parts:
+            before.append((column, part, seen))
+            wanted += [(column, part, q, rank, weight) for q, own in ranks.items()
+                       for rank, weight in own.items() if seen <= rank < seen + n]
+            seen += n
+    wanted = spark.createDataFrame(wanted, "column_name string, part int, q double, rank long, weight double")
+    before = spark.createDataFrame(before, "column_name string, part int, before long")
+    keys = ["column_name", "part"]
+    here = (ranged.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
+            .join(F.broadcast(before), keys))
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy(*keys).orderBy("value"))
+    here = here.withColumn("up_to", up_to)
+    hit = here.join(F.broadcast(wanted), keys).filter(
+        (F.col("rank") < F.col("up_to")) & (F.col("rank") >= F.col("up_to") - F.col("n")))
+    return hit.groupBy("column_name", "q").agg(F.sum(F.col("value") * F.col("weight")).alias("quantile"))
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """Counts per value of the text columns that have at most 20 distinct values.
+
+    `first` takes only so many columns, as the sample page does. All are counted in one pass. The gate is a second small aggregate, not a window, so
     a column of unique ids is never gathered into one group.
     """
-    columns = columns or text_columns(df)[:MAX_TEXT_COLUMNS]
+    columns = columns or text_columns(df)[:first]
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
                       for c in columns))
     counts = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
@@ -70,9 +111,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .orderBy("column_name", F.desc("n"), "value"))
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Number of distinct values per text column."""
-    columns = columns or text_columns(df)[:MAX_TEXT_COLUMNS]
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """Number of distinct values per text column: all, or the `first` so many."""
+    columns = columns or text_columns(df)[:first]
     parts = [df.select(F.lit(c).alias("column_name"), F.col(c).alias("value"))
              .agg(F.first("column_name").alias("column_name"),
                   F.countDistinct("value").alias("distinct_values")) for c in columns]

@@ -11,9 +11,10 @@ from souk import model
 from souk.functions import measures
 
 
-def top_n(df: DataFrame, metric: str, n: int, *tie_breakers: str) -> DataFrame:
-    """The n rows highest on `metric` (planned as a per-task top-n and one merge)."""
-    return df.orderBy(F.desc_nulls_last(metric), *tie_breakers).limit(n)
+def top_n(df: DataFrame, metric: str, n: int | None, *tie_breakers: str) -> DataFrame:
+    """The n rows highest on `metric` (planned as a per-task top-n and one merge); None: all."""
+    ordered = df.orderBy(F.desc_nulls_last(metric), *tie_breakers)
+    return ordered if n is None else ordered.limit(n)
 
 
 def top_with_others(df: DataFrame, label: str, measure: str, n: int = 10,

@@ -146,8 +146,8 @@ def monthly_sales_trends(marts: Marts, year=None, region=None) -> DataFrame:
         .orderBy("year", "month"))
 
 
-def top_products_categories(marts: Marts, limit: int = 20, year=None, region=None) -> DataFrame:
-    """Products are unique in their dimension, so sales per product make the product count."""
+def top_products_categories(marts: Marts, limit: int | None = 20, year=None, region=None) -> DataFrame:
+    """Totals of all categories need a limit of None. Products are unique in their dimension, so sales per product make the product count."""
     scope = Scope.of(year, region)
     sales = _sales_of_year(marts, scope)
     if scope.region is not None:

@@ -100,6 +100,7 @@ def frequency_detail(frequency: DataFrame, order_count: int) -> DataFrame:
 
 
 def category_revenue_share(categories: DataFrame, n: int = 10) -> DataFrame:
+    """Shares of all revenue if the report has all categories; of those it was cut to otherwise."""
     return ranking.top_with_others(categories, "category", "total_revenue", n)
 
 
@@ -171,6 +172,7 @@ def kpi_sales(monthly: DataFrame) -> DataFrame:
 
 
 def kpi_categories(categories: DataFrame) -> DataFrame:
+    """Totals over the report's rows: give it all categories for totals of the whole."""
     return categories.agg(
         F.count(F.lit(1)).alias("total_categories"),
         _money("total_revenue").cast("double").alias("total_revenue"),

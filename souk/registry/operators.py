@@ -102,12 +102,21 @@ follow_on("r24i_frequency_detail", lambda r: rollups.frequency_detail(r, 20),
           percentage_of_customers as "Percentage", avg_customer_value as "Avg Customer Value",
           total_segment_value as "Total Segment Value" from report where order_count = 20""",
           R.customer_frequency())
-follow_on("r24j_category_revenue_share", lambda r: rollups.category_revenue_share(r, 3),
-          reports.top_products_categories,
+def all_categories(warehouse):
+    return reports.top_products_categories(warehouse, None)
+
+
+follow_on("r24j_category_revenue_share", lambda r: rollups.category_revenue_share(r, 3), all_categories,
           """select least(n, 4) as position, case when n <= 3 then category else 'Others' end
           as category, cast(sum(cast(total_revenue as decimal(18,2))) as double) as total_revenue
           from (select *, row_number() over (order by total_revenue desc, category) as n from report)
-          group by 1, 2""", R.top_products_categories())
+          group by 1, 2""", R.top_products_categories(limit=None))
+follow_on("r24j_share_of_many_states",
+          lambda r: ranking.top_with_others(r, "customer_state", "total_sales", 5), reports.sales_by_state,
+          """select least(n, 6) as position, case when n <= 5 then customer_state else 'Others' end
+          as customer_state, cast(sum(cast(total_sales as decimal(18,2))) as double) as total_sales
+          from (select *, row_number() over (order by total_sales desc, customer_state) as n from report)
+          group by 1, 2""", R.sales_by_state())
 follow_on("r24k_top_sellers_per_region", rollups.top_sellers_per_region, reports.top_sellers,
           "select seller_region, count(*) as seller_count from report group by 1", R.top_sellers())
 follow_on("r24l_specialization_by_region", rollups.specialization_by_region,
@@ -163,10 +172,10 @@ follow_on("r24p_kpi_sales", rollups.kpi_sales, reports.monthly_sales_trends,
           f"""select {_money('total_sales')}, {_sum('total_orders')}, {_sum('total_items')},
           {Q.div(SALES_CENTS, 'sum(total_orders)', 9, 2)} as avg_order_value from report""",
           R.monthly_sales_trends())
-follow_on("r24p_kpi_categories", rollups.kpi_categories, reports.top_products_categories,
+follow_on("r24p_kpi_categories", rollups.kpi_categories, all_categories,
           f"""select count(*) as total_categories, {_money('total_revenue')},
           {_sum('unique_products', 'total_products')}, {_sum('items_sold', 'total_items_sold')}
-          from report""", R.top_products_categories())
+          from report""", R.top_products_categories(limit=None))
 follow_on("r24p_kpi_geography", rollups.kpi_geography, reports.sales_by_region,
           f"""select count(distinct customer_region) as total_regions, {_money('total_sales')},
           {_sum('unique_customers', 'total_customers')}, {_sum('unique_sellers', 'total_sellers')}
@@ -631,13 +640,20 @@ def _(spark, d):
     lines = tb.given_tables(spark, d)["lineitem"]
     picked = profile.sample_rows(lines, 100, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                               "l_extendedprice", "l_quantity", "l_tax"])
-    return profile.numeric_profile(picked.select("l_quantity", "l_tax"), exact=True)
+    return profile.numeric_profile(picked.select("l_quantity", "l_tax"))
+
+
+PROFILED = ("item_price", "freight_value", "total_item_value", "total_installments")
 
 
-@query("a23_numeric_profile_of_table")
+@query("a23_numeric_profile_of_table", " union all ".join(
+    f"""select '{c}' as column_name, n as "count", lo as "min", round(q[1], 6) as q25, round(q[2], 6) as q50, round(q[3], 6) as q75, hi as "max"
+    from (select count({c}) as n, cast(min({c}) as double) as lo, cast(max({c}) as double) as hi,
+          quantile_cont(cast({c} as double), [0.25, 0.5, 0.75]) as q
+          from fact_sales)""" for c in PROFILED))
 def _(spark, d):
-    return profile.numeric_profile(marts(spark, d)["fact_sales"].select(
-        "item_price", "freight_value", "total_item_value", "payment_value", "total_installments"))
+    profiled = profile.numeric_profile(marts(spark, d)["fact_sales"].select(*PROFILED))
+    return profiled.select("column_name", "count", "min", *(F.round(q, 6).alias(q) for q in ("q25", "q50", "q75")), "max")
 
 
 @query("a24_value_counts", """select 'order_status' as column_name, order_status as value, count(*) as n

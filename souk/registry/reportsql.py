@@ -37,7 +37,7 @@ def top_products_categories(year=None, region=None, limit=20):
         {total(V)} as total_revenue, {avg_money(V)} as avg_item_value,
         {total('freight_value')} as total_freight, {total('item_price')} as total_item_price
         from sale {where(year, region, 'customer_region', 'product_category_english is not null')}
-        group by 1 order by total_revenue desc, category limit {limit}"""
+        group by 1 order by total_revenue desc, category {'' if limit is None else f'limit {limit}'}"""
 
 
 def sales_by_region(year=None):

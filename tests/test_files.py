@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from shop import shop
@@ -115,14 +116,29 @@ def test_existence_and_name_match(spark):
 
 def test_profile_of_a_sample(spark):
     df = spark.createDataFrame([(i, i / 2, "ab"[i % 2], str(i)) for i in range(100)], "n int, x double, s string, id string")
-    got = {r["column_name"]: r for r in profile.numeric_profile(profile.sample_rows(df, 100, ["n"]), exact=True).collect()}
+    got = {r["column_name"]: r for r in profile.numeric_profile(profile.sample_rows(df, 100, ["n"])).collect()}
     assert (got["n"]["count"], got["n"]["q25"], got["n"]["q50"], got["n"]["max"]) == (100, 24.75, 49.5, 99)
     assert {r["column_name"] for r in profile.value_counts(df).collect()} == {"s"}
     assert {r["column_name"]: r["distinct_values"] for r in profile.distinct_counts(df).collect()} == {"s": 2, "id": 100}
+    assert [r["column_name"] for r in profile.distinct_counts(df, first=1).collect()] == ["s"]
+    wide = df.select("s", "id", *(F.lit("x").alias(f"t{i}") for i in range(4)))
+    assert profile.distinct_counts(wide).count() == 6
     with pytest.raises(ValueError):
         profile.sample_rows(df, 1000)
 
 
+def test_quantiles_are_exact_with_hot_values_and_nulls(spark):
+    values = [5.0] * 400 + [float(i % 97) for i in range(300)] + [None] * 20
+    df = spark.createDataFrame([(v, 1) for v in values], "x double, one int").withColumn("none", F.lit(None).cast("int"))
+    got = {(r["column_name"], r["q"]): r["quantile"] for r in profile.quantiles(df, ["x", "one", "none"], (0.1, 0.5, 0.9)).collect()}
+    numbers = sorted(v for v in values if v is not None)
+    for q in (0.1, 0.5, 0.9):
+        at = q * (len(numbers) - 1)
+        low, high = numbers[int(at)], numbers[min(int(at) + 1, len(numbers) - 1)]
+        assert abs(got[("x", q)] - (low + (high - low) * (at - int(at)))) < 1e-9 and got[("one", q)] == 1
+    assert not any(c == "none" for c, _ in got)
+
+
 def test_sizes_follow_the_data():
     from souk.session import settings_for
     small, large = settings_for(10**9, 8), settings_for(100 * 10**12, 4000)
