@@ -21,7 +21,7 @@ class Entity:
     name: str
     keys: tuple[str, ...]
     columns: tuple[str, ...]
-    free_text: bool = False  # quoted fields may hold line ends, so files cannot be split
+    free_text: bool = False  # has fields written by customers
 
     @property
     def schema(self) -> T.StructType:

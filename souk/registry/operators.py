@@ -248,6 +248,49 @@ def _(spark, d):
     return text.read_entity(spark, path, model.ENTITIES["order_reviews"])
 
 
+SELLERS = "select seller_id, seller_zip_code_prefix, nullif(seller_city, '') as seller_city, seller_state from raw_sellers"
+
+
+def _write_csv(df, path: str) -> None:
+    (df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True).csv(path))
+
+
+@query("s1_reordered_header", SELLERS)
+def _(spark, d):
+    """Files with other column orders and a further column."""
+    raw, path = tb.raw_tables(spark, d)["sellers"], scratch(spark, d, f"csv_orders_{uuid4().hex}")
+    first = F.col("seller_id") < F.lit("5")
+    _write_csv(raw.filter(first).select("seller_city", F.lit("x").alias("extra"), "seller_state", "seller_id",
+                                        "seller_zip_code_prefix"), f"{path}/a")
+    _write_csv(raw.filter(~first).select("seller_state", "seller_zip_code_prefix", "seller_city", "seller_id"),
+               f"{path}/b")
+    return text.read_entity(spark, f"{path}/*", model.ENTITIES["sellers"])
+
+
+@query("s2_line_ends", """select seller_id, seller_zip_code_prefix,
+       coalesce(seller_city, '') || chr(10) || 'north, "old"' as seller_city, seller_state from raw_sellers""")
+def _(spark, d):
+    raw, path = tb.raw_tables(spark, d)["sellers"], scratch(spark, d, f"csv_lines_{uuid4().hex}")
+    city = F.concat(F.coalesce("seller_city", F.lit("")), F.lit('\nnorth, "old"'))
+    _write_csv(raw.withColumn("seller_city", city).select(*CSV_COLUMNS["sellers"]), path)
+    return text.read_entity(spark, path, model.ENTITIES["sellers"])
+
+
+@query("s2_rejects", """select count(*) as "rows", count(*) filter (seller_state = 'NATION_1' or
+       seller_state = 'NATION_2') as ragged from raw_sellers""")
+def _(spark, d):
+    """Rows of one state have a field too many, those of another one too few."""
+    raw, path = tb.raw_tables(spark, d)["sellers"], scratch(spark, d, f"csv_ragged_{uuid4().hex}")
+    line = F.concat_ws(",", "seller_id", "seller_zip_code_prefix", F.lit("town"), "seller_state")
+    line = (F.when(F.col("seller_state") == "NATION_1", F.concat(line, F.lit(",more")))
+            .when(F.col("seller_state") == "NATION_2", F.concat_ws(",", "seller_id", "seller_zip_code_prefix"))
+            .otherwise(line))
+    header = spark.range(1).select(F.lit(-1).alias("at"), F.lit(",".join(CSV_COLUMNS["sellers"])).alias("value"))
+    lines = header.union(raw.select(F.lit(0).alias("at"), line.alias("value")))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)  # one small file
+    return text.ragged_rows(spark, path, model.ENTITIES["sellers"]).select("rows", "ragged")
+
+
 @query("s3_load_stamp", "select seller_id, '2024-05-01 06:30:00' as _sdc_extracted_at from raw_sellers")
 def _(spark, d):
     sellers = tb.raw_tables(spark, d)["sellers"].select("seller_id")

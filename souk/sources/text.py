@@ -13,24 +13,68 @@ from souk.functions.scalar import clean
 from souk.model import Entity
 
 
+SPARE = 16  # columns a file may have beside those of its entity
+
+
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(
+        path, header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8",
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, columnNameOfCorruptRecord="ragged")
+
+
 def _scan(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
-    return spark.read.schema(entity.schema).csv(
-        path, header=False, multiLine=entity.free_text, quote='"', escape='"', encoding="UTF-8",
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """Rows of all files: file, fields (cleaned, by position), header (is it one)."""
+    width = len(entity.columns) + SPARE
+    scanned = _csv(spark, path, ", ".join(f"c{i} string" for i in range(width)))
+    rows = scanned.select(F.col("_metadata.file_path").alias("file"),
+                          F.array(*(clean(f"c{i}") for i in range(width))).alias("fields"))
+    named = [F.coalesce(F.array_contains("fields", n), F.lit(False)) for n in entity.columns]
+    return rows.withColumn("header", reduce(lambda a, b: a & b, named))
+
+
+def _headers(scanned: DataFrame) -> DataFrame:
+    return scanned.filter("header").groupBy("file").agg(F.min("fields").alias("names"))
 
 
 def read_entity(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
-    """A CSV entity as cleaned text columns.
+    """A CSV entity as cleaned text columns, taken by the names in each file's own header.
+
+    Columns may come in any order, further ones are left out, and a row in a file whose header
+    lacks a column raises an error. Byte-order mark, padding around headers and fields and
+    all-empty rows (also before the header) are removed; quoted fields may hold line ends. A
+    row with fewer fields than its header has NULL for the others, and of one with more the surplus
+    is left out; `ragged_rows` counts both. A file is read by one task.
+    """
+    scanned = _scan(spark, path, entity)
+    rows = (scanned.filter(~F.col("header")).filter(F.exists("fields", lambda c: c != ""))
+            .join(_headers(scanned), "file", "left"))
+    lacking = F.raise_error(F.concat(F.lit(f"no header with all columns of {entity.name} in "), F.col("file")))
+    at = {n: F.array_position("names", n).cast("int") for n in entity.columns}
+    read = {n: F.when(F.col("names").isNull(), lacking.cast("string"))
+            .otherwise(F.nullif(F.get("fields", at[n] - 1), F.lit(""))) for n in entity.columns}
+    named = rows.select(*(read[n].alias(n) for n in entity.columns))
+    present = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in entity.columns])
+    return named.filter(present)
+
+
+def ragged_rows(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
+    """(file, rows, ragged): how many rows have fewer or more fields than their file's header.
 
-    Byte-order mark, padding around headers and fields and all-empty rows (also before the
-    header) are removed. Every file of the path carries its own header, so header rows are
-    recognised by content: each field equals the name of its column.
+    Files are scanned again with the width of their header, one scan for each width that occurs.
     """
-    names = list(entity.columns)
-    fields = _scan(spark, path, entity).select(*(clean(n).alias(n) for n in names))
-    present = reduce(lambda a, b: a | b, [F.coalesce(F.col(n), F.lit("")) != "" for n in names])
-    header = reduce(lambda a, b: a & b, [F.coalesce(F.col(n) == n, F.lit(False)) for n in names])
-    return fields.filter(present & ~header)
+    wide = _headers(_scan(spark, path, entity)).select(
+        "file", F.size(F.filter("names", lambda c: c.isNotNull())).alias("width"))
+    parts = []
+    for width in sorted(r[0] for r in wide.select("width").distinct().collect()):  # at most SPARE + 1
+        columns = [f"c{i}" for i in range(width)]
+        scanned = _csv(spark, path, ", ".join(f"{c} string" for c in [*columns, "ragged"]))
+        filled = reduce(lambda a, b: a | b, [F.coalesce(clean(c), F.lit("")) != "" for c in columns])
+        rows = scanned.select(F.col("_metadata.file_path").alias("file"), filled.alias("filled"), "ragged")
+        parts.append(rows.join(wide.filter(F.col("width") == width), "file").filter("filled").groupBy("file").agg(
+            (F.count(F.lit(1)) - 1).alias("rows"), F.count("ragged").alias("ragged")))  # less the header
+    if not parts:
+        return spark.createDataFrame([], "file string, rows long, ragged long")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_load_stamp(df: DataFrame, loaded_at: datetime) -> DataFrame:

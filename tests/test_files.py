@@ -43,6 +43,23 @@ def test_review_text_keeps_quotes_and_line_ends(spark, tmp_path):
     assert r["review_comment_title"] is None and r["review_score"] == "5"
 
 
+def test_columns_are_taken_by_name(spark, tmp_path):
+    sellers = model.ENTITIES["sellers"]
+    (tmp_path / "a.csv").write_text(
+        "seller_id,seller_city,extra,seller_state,seller_zip_code_prefix\ns1,\"two\nlines\",x,SP,01\n")
+    (tmp_path / "b.csv").write_text(
+        "seller_state , seller_zip_code_prefix,seller_id,seller_city\nRJ,02,s2,town\nBA,03,s3\nRS,04,s4,a,b,c\n")
+    got = {r["seller_id"]: tuple(r.values()) for r in rows(text.read_entity(spark, str(tmp_path), sellers))}
+    assert got == {"s1": ("s1", "01", "two\nlines", "SP"), "s2": ("s2", "02", "town", "RJ"),
+                   "s3": ("s3", "03", None, "BA"), "s4": ("s4", "04", "a", "RS")}
+    counted = {r["file"][-5:]: (r["rows"], r["ragged"])
+               for r in text.ragged_rows(spark, str(tmp_path), sellers).collect()}
+    assert counted == {"a.csv": (1, 0), "b.csv": (3, 2)}
+    (tmp_path / "c.csv").write_text("seller_id,seller_city\ns9,x\n")
+    with pytest.raises(Exception, match="no header with all columns"):
+        text.read_entity(spark, str(tmp_path), sellers).collect()
+
+
 def test_cleaned_copy_reads_back(spark, tmp_path):
     entity = model.ENTITIES["sellers"]
     source = spark.createDataFrame([("s1", "01", 'x "y", z', "SP"), ("s2", None, "", "RJ")], entity.schema)
