@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import time
@@ -35,10 +36,11 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # its cleaner runs beside us
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    for _ in range(2):  # the first run lets go of the finished plan, the second of its shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
