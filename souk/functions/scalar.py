@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from souk import model
 
 # One-argument trim() strips spaces only; raw text may also carry tabs, line ends and NBSP.
-_BLANKS = " \t\n\r\x0b\x0c\x85\xa0  ﻿"
+_BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u2028\u2029\ufeff"
 
 
 def clean(c: Column | str) -> Column:

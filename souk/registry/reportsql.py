@@ -86,10 +86,10 @@ def customer_behavior(year=None, region=None):
 
 
 def customer_segmentation(year=None, region=None):
-    return f"""select case when orders > 5 then 'Loyal Customer' when orders >= 2
-            then 'Regular Customer' else 'One-Time Customer' end as customer_segment,
-        case when spent > 500 then 'High Value' when spent >= 101 then 'Medium Value'
-            when spent <= 100 then 'Low Value' end as value_segment,
+    return f"""select case when orders = 1 then 'One-Time Customer' when orders <= 5
+            then 'Regular Customer' else 'Loyal Customer' end as customer_segment,
+        case when spent <= 100 then 'Low Value' when spent between 101 and 500 then 'Medium Value'
+            when spent > 500 then 'High Value' end as value_segment,
         count(*) as customer_count, {avg_int('orders')} as avg_orders,
         {avg_money('spent')} as avg_lifetime_value, {avg_money('per_item')} as avg_order_value,
         {avg_int('lifetime')} as avg_lifetime_days, {total('spent')} as segment_total_value
@@ -180,10 +180,10 @@ def review_score_distribution(year=None, region=None):
 
 
 def review_timing_analysis(year=None, region=None):
-    return f"""select case when days_to_review > 90 then 'Very Late (>90 days)'
-            when days_to_review > 30 then 'Delayed (31-90 days)'
-            when days_to_review > 7 then 'Normal (8-30 days)'
-            else 'Quick (≤7 days)' end as timing_category,
+    return f"""select case when days_to_review <= 7 then 'Quick (≤7 days)'
+            when days_to_review <= 30 then 'Normal (8-30 days)'
+            when days_to_review <= 90 then 'Delayed (31-90 days)'
+            else 'Very Late (>90 days)' end as timing_category,
         count(*) as review_count, {avg_int('review_score')} as avg_review_score,
         {total(V)} as total_sales, {avg_money(V)} as avg_item_value,
         {avg_int('days_to_review')} as avg_days_to_review
@@ -205,11 +205,11 @@ def delivery_patterns(year=None, region=None):
 
 
 def delivery_time_distribution(year=None, region=None):
-    return f"""select case when days_to_delivery > 30 then 'Very Slow (>30 days)'
-            when days_to_delivery > 20 then 'Slow (21-30 days)'
-            when days_to_delivery > 10 then 'Normal (11-20 days)'
-            when days_to_delivery > 5 then 'Fast (6-10 days)'
-            else 'Very Fast (≤5 days)' end as delivery_speed_category,
+    return f"""select case when days_to_delivery <= 5 then 'Very Fast (≤5 days)'
+            when days_to_delivery <= 10 then 'Fast (6-10 days)'
+            when days_to_delivery <= 20 then 'Normal (11-20 days)'
+            when days_to_delivery <= 30 then 'Slow (21-30 days)'
+            else 'Very Slow (>30 days)' end as delivery_speed_category,
         {ORDERS} as total_orders, count(*) as total_items, {total(V)} as total_sales,
         {avg_int('days_to_delivery')} as avg_days_in_category, {ON_TIME} as on_time_orders,
         {pct(ON_TIME, ORDERS)} as on_time_rate,
