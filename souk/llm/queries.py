@@ -117,7 +117,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return recompress.remove_repeats(docs).select(
+    return recompress.remove_repeats(docs, texts=False).select(
         F.col("__id").alias("doc_id"), F.col("__n_words").alias("n_words"),
         F.col("__n_removed").alias("n_removed"), F.col("__sha").alias("kept_sha256"))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -229,18 +230,22 @@ def _candidates(batch: pa.RecordBatch, at: int, words: list[list[bytes]], names:
     return s.signed(h1), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[found.doc[which]]
 
 
-def _removed(words: list[list[bytes]], cuts: list[list[int] | None], names: Names) -> Iterator[np.ndarray]:
-    """For each text which words to take out."""
-    found = Windows(names.numbers(words), _sizes(words))
-    h1, _ = found.digests(np.arange(len(found.first))) if any(cuts) else (np.zeros(0, np.uint64), None)
-    bounds = np.searchsorted(found.doc, np.arange(len(words) + 1))
-    for i, own in enumerate(words):
-        gone = np.zeros(len(own) + 1, np.int64)
-        if cuts[i]:
-            hit = np.flatnonzero(np.isin(h1[bounds[i]:bounds[i + 1]].view(np.int64), np.array(cuts[i], np.int64)))
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + WINDOW, -1)
-        yield np.cumsum(gone)[:-1] > 0
+def _removed(words: list[list[bytes]], cuts: list[list[int] | None], names: Names) -> dict[int, np.ndarray]:
+    """Of each text with something to remove, which words stay."""
+    some = [i for i, cut in enumerate(cuts) if cut]
+    if not some:
+        return {}
+    found = Windows(names.numbers([words[i] for i in some]), _sizes([words[i] for i in some]))
+    h1 = found.digests(np.arange(len(found.first)))[0].view(np.int64)
+    bounds = np.searchsorted(found.doc, np.arange(len(some) + 1))
+    out = {}
+    for k, i in enumerate(some):
+        hit = np.flatnonzero(np.isin(h1[bounds[k]:bounds[k + 1]], np.array(cuts[i], np.int64)))
+        gone = np.zeros(len(words[i]) + 1, np.int64)
+        np.add.at(gone, hit, 1)
+        np.add.at(gone, hit + WINDOW, -1)
+        out[i] = np.cumsum(gone)[:-1] == 0
+    return out
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,9 +271,11 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return cuts
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
     """All rows with the key, __n_words, __n_removed, __kept (the words left, joined by one space), __sha.
 
+    Without `texts` __kept comes back null.
+
     A word goes if a window of WINDOW words that covers it also starts in a text with a smaller
     key. Null texts have no words; rows that share a key are not smaller than each other; null keys
     come after all others. Keys are whole numbers.
@@ -283,14 +290,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for at, words in _parts(batch):
                 ids = batch.column("__id").slice(at, len(words))
                 cuts = batch.column("cut").slice(at, len(words)).to_pylist()
-                kept, removed = [], []
-                for own, gone in zip(words, _removed(words, cuts, names)):
-                    removed.append(int(gone.sum()))
-                    kept.append(b" ".join(w for w, g in zip(own, gone.tolist()) if not g) if removed[-1]
-                                else b" ".join(own))
+                left = _removed(words, cuts, names)
+                removed = [len(own) - int(left[i].sum()) if i in left else 0 for i, own in enumerate(words)]
+                kept = [b" ".join(compress(own, left[i].tolist()) if i in left else own)
+                        for i, own in enumerate(words)]
+                shown = pa.array(kept, pa.binary()).cast(pa.string()) if texts else pa.nulls(len(kept), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(_sizes(words)), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string()),
+                     shown,
                      pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
                     ["__id", "__n_words", "__n_removed", "__kept", "__sha"])
 
