@@ -139,7 +139,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarra
         pairs <<= two(bits)
         pairs |= symbols[1:]
         ordered = np.sort(pairs[inside])
-        if not len(ordered):
+        if len(ordered) < LEAST:
             break
         # Only pairs that occur LEAST times: then the entry LEAST - 1 places on is the same.
         same = ordered[LEAST - 1:] == ordered[:len(ordered) - LEAST + 1]
@@ -147,10 +147,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarra
         fresh[1:] = ordered[1:len(same)] != ordered[:len(same) - 1]
         at = np.flatnonzero(same & fresh)
         count = np.searchsorted(ordered, ordered[at], "right") - at
-        often = np.arange(len(at))
-        if not len(often):
+        if not len(at):
             break
-        often = often[np.argsort(-count[often], kind="stable")[:ROUND_RULES]]
+        often = np.argsort(-count, kind="stable")[:ROUND_RULES]
         chosen = np.sort(ordered[at[often]])
         left, right = (chosen >> two(bits)).astype(np.int64), (chosen & two((1 << bits) - 1)).astype(np.int64)
         top = int(symbols.max()) + 1
