@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from souk.session import work_folder
 
-RESERVED = "__"  # operators' own columns start so until they are shown; inputs must not
+# Operators' own columns start with two underscores; columns of their inputs must not.
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -137,12 +137,6 @@ def extended(df: DataFrame, **types: str) -> T.StructType:
     return out
 
 
-def shown(df: DataFrame, **names: str) -> DataFrame:
-    """Rename reserved columns to public ones; input columns of those names give way."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names and c not in names.values()]
-    return df.select(*kept, *(F.col(f"`{own}`").alias(public) for own, public in names.items()))
-
-
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

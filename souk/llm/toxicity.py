@@ -1,11 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = offset + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, over the distinct terms of a
-text: its words without case and outer punctuation, and their first letters, so that inflected forms
-share a term. x_i falls from rare terms to 0 for one in every sampled text, and the x of a text have
-length one, so that long texts are not judged by their number of terms. The pair term makes combinations count that single words do not give away. Trained by AdaGrad
-on a bounded sample of labelled rows (SAMPLE per class, a documented bound); scoring covers all
-rows and whole texts.
+score = offset + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j, over the distinct terms of a text: its
+words without case and outer punctuation, and their first letters, so that inflected forms share a term.
+x_i falls from rare terms to 0 for one in every sampled text, and the x of a text have length one, so that
+long texts are not judged by their number of terms. The pair term makes combinations count that single
+words do not give away. Trained by AdaGrad on a bounded sample of labelled rows (SAMPLE per class, a
+documented bound); scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
