@@ -44,20 +44,6 @@ def not_older(rows: DataFrame, stored: DataFrame, key: str, stamp: str) -> DataF
     return rows.join(held, (F.col(key) == F.col("_key")) & (F.col("_stamp") > F.col(stamp)), "left_anti")
 
 
-def changed_keys(changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys of changed rows."""
-    return changed.select(*keys).distinct()
-
-
-def rows_of_keys(source: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows, old and new, of the given keys.
-
-    Aggregated tables must be rebuilt from these, not from the changed rows alone. Give the keys
-    as a stored table: few of them are then broadcast, and with many a popular key is split.
-    """
-    return source.join(changed, list(keys), "left_semi")
-
-
 def sync_columns(target: DataFrame, source: DataFrame) -> DataFrame:
     """Target rows in the source's layout: new columns NULL, removed columns dropped."""
     have = {f.name for f in target.schema}
