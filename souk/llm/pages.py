@@ -3,8 +3,9 @@
 Each page's containers are scored by the text of the blocks they hold, less what lies in links. A
 page votes for the paths of its best containers; a path is the chain of tags with their classes and
 ids, digits generalised, positions left out. Spark sums the votes per host, and every page of the
-host is then extracted again from the elements on the winning path. A page that has no such element,
-or no text there, is extracted from its own best container.
+host is then extracted again from the elements on the winning paths. A page that has no such element,
+or next to no text there, is extracted from its own best container. From these elements the text is
+widened to the containers around them, up to body: titles, leads and further sections of the article.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader
 comments are left out by tag, role and the words of class and id, on both ways.
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from souk.llm import shared as s
 
-NEAR_BEST = 0.5  # containers with this share of the page's best score get a vote
+NEAR_BEST = 0.5  # containers with this share of the page's best score get a vote; of the host's best votes, paths win
+HOST_SHARE = 1 / 16  # of a host's votes, that a path besides the first must have: a host has few winning paths
+FEW = 0.1        # paths that hold less than this share of the page's best score give way to its own best container
+FEW_OF_ONE = 0.02  # the same, where that container is a single block outside article and main
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -199,15 +203,93 @@ class Page:
                         break
         return found
 
-    def text(self, roots: set[int]) -> str:
-        """Blocks under the given elements, in page order."""
+    def under(self, roots: set[int]) -> list[bool]:
+        """Of each element, whether it is or lies in one of the given."""
         inside = [False] * len(self.tag)
         for node in range(len(self.tag)):
             inside[node] = node in roots or (node > 0 and inside[self.parent[node]])
+        return inside
+
+    def sizes(self) -> tuple[list[int], list[int]]:
+        """Characters of text under each element: outside links, in links."""
+        linked = [False] * len(self.tag)
+        for node in range(1, len(self.tag)):
+            linked[node] = linked[self.parent[node]] or self.tag[node] == "a"
+        free, links = [0] * len(self.tag), [0] * len(self.tag)
+        for node, _, text in self.pieces:
+            if not self.skip[node] and not self.header[node]:
+                (links if linked[node] else free)[node] += len(text.strip())
+        for node in range(len(self.tag) - 1, 0, -1):
+            free[self.parent[node]] += free[node]
+            links[self.parent[node]] += links[node]
+        return free, links
+
+    def widen(self, roots: set[int]) -> tuple[set[int], set[int]]:
+        """Elements whose text belongs with that of `roots`, and elements of which only their own text does.
+
+        Climbs from the roots as long as the further text is that of the article: blocks that are not
+        mostly links, sections, and any container beside a title or within article and main.
+        """
+        count = len(self.tag)
+        free, links = self.sizes()
+        children: list[list[int]] = [[] for _ in range(count)]
+        holds, titled, article = [False] * count, [False] * count, [False] * count
+        for node in range(1, count):
+            children[self.parent[node]].append(node)
+            article[node] = article[self.parent[node]] or self.tag[node] in ("article", "main")
+        for node in range(count - 1, 0, -1):  # a container, a first heading, in the element or under it
+            holds[node] |= self.tag[node] in CONTAINER
+            titled[node] |= self.tag[node] == "h1" and not self.skip[node] and free[node] > 0
+            holds[self.parent[node]] |= holds[node]
+            titled[self.parent[node]] |= titled[node]
+        chain = set(roots)
+        for root in roots:
+            self._around(root, chain)
+        whole, own, ended = set(roots), set(), set()
+        # The innermost elements first: an element comes after those around it.
+        for above in sorted(chain - self._below(roots, children), reverse=True):
+            if self.tag[above] in ("html", "body") or self.skip[above]:
+                break
+            inner = [n for n in children[above] if n in chain]
+            if not ended.isdisjoint(inner):
+                ended.add(above)
+                continue
+            size = sum(free[n] for n in inner)
+            others = [n for n in children[above] if n not in chain and not self.skip[n] and free[n] + links[n]]
+            title = {n for n in others if self.tag[n] in HEADING
+                     or (titled[n] and n < inner[0] and links[n] < free[n] < size)}
+            for node in others:
+                if node in title or (free[node] > links[node] and (
+                        not holds[node] or article[above] or title or self.tag[node] in ("article", "section"))):
+                    whole.add(node)
+                elif not article[above]:
+                    ended.add(above)
+            own.add(above)
+        return whole, own
+
+    def _around(self, node: int, known: set[int]) -> None:
+        """Add the elements around one, as far as they are not known."""
+        for above in self._up(self.parent[node]):
+            if above in known:
+                break
+            known.add(above)
+
+    def _below(self, roots: set[int], children: list[list[int]]) -> set[int]:
+        found, todo = set(), list(roots)
+        while todo:
+            node = todo.pop()
+            if node not in found:
+                found.add(node)
+                todo += children[node]
+        return found
+
+    def text(self, roots: set[int], own: set[int] = frozenset()) -> str:
+        """Blocks under the given elements, and text right in those of `own`, in page order."""
+        inside = self.under(roots)
         blocks: list[list[str]] = []
         last = None
         for node, block, piece in self.pieces:
-            if inside[node] and not self.skip[node] and not self.header[node]:
+            if (inside[node] or node in own) and not self.skip[node] and not self.header[node]:
                 if block != last:
                     blocks.append([])
                     last = block
@@ -236,22 +318,59 @@ def votes(page: Page) -> list[tuple[int, float]]:
     return sorted(found.items())
 
 
-def main_text(page: Page, winner: int | None) -> str:
-    """Text under the winning path, else under the page's own best container; no container: all."""
-    if winner is not None:
-        paths = page.paths()
-        roots = {n for n in range(1, len(paths)) if paths[n] == winner and page.tag[n] in CONTAINER}
-        if roots and (found := page.text(roots)):
-            return found
+def main_text(page: Page, winners: int | list[int] | None) -> str:
+    """Text of the article around the elements on the winning paths, the first path first.
+
+    If they hold nothing, or little beside the text of the page's own best container, around that; no
+    container: all text.
+    """
+    winners = [winners] if isinstance(winners, int) else winners or []
     scores = page.scores()
     best = max(scores.values(), default=0.0)
-    if best > 0:
-        return page.text({min(n for n, x in scores.items() if x == best)})
-    return page.text({0})
+    top = min(n for n, x in scores.items() if x == best) if best > 0 else 0
+    roots = _on_paths(page, winners, top) if winners else set()
+    if roots and not _few(page, roots, top, best) and (found := page.text(*page.widen(roots))):
+        return found
+    return page.text(*page.widen({top})) if top else page.text({0})
+
+
+def _on_paths(page: Page, winners: list[int], top: int) -> set[int]:
+    """The containers on the paths. None lies in another; those of the first path go first.
+
+    Beside the first path, a container around the page's best one says less than that one.
+    """
+    paths = page.paths()
+    roots: set[int] = set()
+    around: set[int] = set()  # elements around the roots
+    for rank, winner in enumerate(winners):
+        inside = page.under(roots)
+        found = {n for n in range(1, len(paths)) if paths[n] == winner and page.tag[n] in CONTAINER
+                 and not page.skip[n] and not inside[n] and n not in around}
+        if rank:
+            found -= set(page._up(page.parent[top]))
+        roots |= found
+        for node in found:
+            page._around(node, around)
+    return roots
+
+
+def _few(page: Page, roots: set[int], top: int, best: float) -> bool:
+    """Whether the roots hold so little beside the page's best container that its article is elsewhere."""
+    if not top or page.under(roots)[top]:
+        return False
+    free, _ = page.sizes()
+    held = sum(free[n] for n in roots)
+    if held >= FEW * best:
+        return False
+    inside = page.under({top})
+    blocks = {block for node, block, text in page.pieces
+              if inside[node] and not page.skip[node] and not page.header[node] and text.strip()}
+    lone = len(blocks) < 2 and not any(page.tag[n] in ("article", "main") for n in page._up(top))
+    return held < (FEW_OF_ONE if lone else FEW) * best
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the smaller path."""
+    """(host, paths): the paths with most votes of each host, best first; ties go to the smaller path."""
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths, weights = [], [], []
         for address, text in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
@@ -265,8 +384,14 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     rows = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     summed = (s.map_batches(rows, each, "host string, path long, weight long")
               .groupBy("host", "path").agg(F.sum("weight").alias("votes")))
-    best = summed.groupBy("host").agg(F.max(F.struct("votes", (-F.col("path")).alias("less"))).alias("best"))
-    return s.settle(best.select("host", (-F.col("best.less")).alias("path")), "host-paths")
+    summed = s.settle(summed, "votes")
+    best = summed.groupBy("host").agg(F.sum("votes").alias("all"),
+                                      F.max(F.struct("votes", (-F.col("path")).alias("less"))).alias("best"))
+    wins = (F.col("path") == -F.col("best.less")) | ((F.col("votes") >= NEAR_BEST * F.col("best.votes"))
+                                                     & (F.col("votes") >= HOST_SHARE * F.col("all")))
+    ranked = (summed.join(best, "host").where(wins).groupBy("host")
+              .agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("won")))
+    return s.settle(ranked.select("host", F.col("won.path").alias("paths")), "host-paths")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -274,16 +399,16 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     Null and empty html and pages without text give an empty text; null urls share one host.
     """
-    winners = host_paths(pages, url, html).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    winners = host_paths(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
     address = F.coalesce(F.trim(F.col(f"`{url}`")), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     named = pages.withColumn("__host", host).join(winners, "__host", "left").drop("__host")
     columns = [c for c in pages.columns if c != html]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(read(text), path) for text, path in
-                 zip(batch.column(html).to_pylist(), batch.column("__path").to_pylist())]
+        texts = [main_text(read(text), paths) for text, paths in
+                 zip(batch.column(html).to_pylist(), batch.column("__paths").to_pylist())]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())],
                                           [*columns, "__text"])
-    out = named.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{html}`"), "__path")
+    out = named.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{html}`"), "__paths")
     return s.map_batches(out, each, s.extended(pages.drop(html), __text="string"))

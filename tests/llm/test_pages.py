@@ -70,3 +70,31 @@ def test_odd_rows_and_empty_table(spark):
                                        (None, ""), ("a.org/x", "")])
 def test_hosts(url, host):
     assert pages.host_of(url) == host
+
+
+LONG = "A long paragraph of the article, with many words in it. " * 8
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<article><h1>Title</h1><p>Lead</p><div class='entry-body'><p>{}</p></div></article>", "Title\n\nLead\n\n{}"),
+    ("<article><section class=a><p>Short one.</p></section><section id=b><p>{}</p></section></article>",
+     "Short one.\n\n{}"),
+    ("<div class=post><h2><a href=/>Title</a></h2><div class=lead><p>Lead</p></div><div class=text><p>{}</p></div>"
+     "<div class=tags><a>x</a></div></div>", "Title\n\nLead\n\n{}"),
+    ("<main><h1>T</h1><ul><li><a>Home</a></ul><div><div><p>{}</p></div></div></main>", "T\n\n{}"),
+    ("<div class=page><div class=left><p>About us</p></div><div class=text><p>{}</p></div></div>", "{}"),
+])
+def test_text_around_the_winning_container(spark, inner, want):
+    html = f"<body>{inner}<p>outside</p></body>".replace("{}", LONG)
+    want = want.replace("{}", LONG.strip())
+    assert pages.main_text(pages.read(html), None) == want
+    got = run(spark, [(i, f"http://a.org/{i}", html, 1) for i in range(3)])
+    assert {r["__text"] for r in got.values()} == {want}
+
+
+def test_sections_right_in_body_and_pages_of_another_layout(spark):
+    two = f"<body><div class=x><p>{LONG}</p></div><div class=y><p>{LONG[:285]}</p></div></body>"
+    other = f"<body><div class=x><p>Hi.</p></div><div class=story><p>{LONG}</p><p>More.</p></div></body>"
+    got = run(spark, [*((i, f"http://a.org/{i}", two, 1) for i in range(5)), (9, "http://a.org/9", other, 1)])
+    assert got[0]["__text"] == f"{LONG.strip()}\n\n{LONG[:285].strip()}"
+    assert got[9]["__text"] == f"{LONG.strip()}\n\nMore."
