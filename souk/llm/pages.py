@@ -55,9 +55,11 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "th": {"table"}, "p": CONTAINER | {"li", "blockquote", "dd", "th", "form", "figure", "aside", "header",
                                             "footer", "nav"}, "option": {"select"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>
-    |<(/?)([a-zA-Z][\w:-]*)((?>[^>"']+|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*+)>""", re.S | re.X)
-_NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)""", re.S)
+# The rest of a tag. A quote opens only after an equals sign, ends at the next one however far, and is else a character.
+_REST = re.compile(r"""((?>[^>"'=]+|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+)>""")
+_NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_KEYS = {"class", "id", "role", "hidden", "aria-hidden"}
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -83,14 +85,26 @@ class Page:
     def _read(self, text: str) -> None:
         stack, open_tags = [0], Counter()
         at, end = 0, len(text)
+        quotes = True
         while at < end:
             found = _TAG.search(text, at)
+            attributes, close = "", found.end() if found else end
+            if found and found[2] is not None:
+                rest = _REST.match(text, close) if quotes else None
+                if rest:
+                    attributes, close = rest[1], rest.end()
+                elif (stop := text.find(">", close)) >= 0:
+                    # No tag ends from here on outside quotes; looking again from each tag would take long.
+                    quotes = False
+                    attributes, close = text[close:stop], stop + 1
+                else:
+                    found = None
             begin = found.start() if found else end
             if begin > at:
                 self.pieces.append((stack[-1], self.block, text[at:begin]))
             if not found:
                 break
-            at = found.end()
+            at = close
             if found[2] is None:
                 if found[0].startswith("<![CDATA["):
                     self.pieces.append((stack[-1], self.block, found[0][9:-3]))
@@ -121,8 +135,8 @@ class Page:
                     break
                 if tag in HOLDS[name]:
                     break
-            self._open(stack[-1], name, found[3])
-            if not found[3].rstrip().endswith("/") or name in BLOCK:
+            self._open(stack[-1], name, attributes)
+            if not attributes.rstrip().endswith("/") or name in BLOCK:
                 stack.append(len(self.tag) - 1)
                 open_tags[name] += 1
 
@@ -130,7 +144,10 @@ class Page:
         label, words, gone = name, [], False
         if "=" in attributes or "hidden" in attributes:
             for key, *values in _NAMED.findall(attributes):
-                key, value = key.lower(), entities.unescape("".join(values)).lower()
+                key = key.lower()
+                if key not in _KEYS:
+                    continue
+                value = entities.unescape("".join(values)).lower()
                 if key == "hidden" or (key == "aria-hidden" and value == "true"):
                     gone = True
                 elif key == "role":

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from souk.llm import pages
@@ -98,3 +100,21 @@ def test_sections_right_in_body_and_pages_of_another_layout(spark):
     got = run(spark, [*((i, f"http://a.org/{i}", two, 1) for i in range(5)), (9, "http://a.org/9", other, 1)])
     assert got[0]["__text"] == f"{LONG.strip()}\n\n{LONG[:285].strip()}"
     assert got[9]["__text"] == f"{LONG.strip()}\n\nMore."
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_values(quote):
+    inner = "<b class=nav hidden>junk</b> more > tail " * 500
+    value = quote + inner.replace('"', "") + quote
+    want = "all of it"
+    assert pages.main_text(pages.read(f"<div data-x={value}><p title = {value}>all <i data-y={value}/>of it</div>"),
+                           None) == want
+    assert pages.main_text(pages.read(f"<article style={quote}overflow:hidden{quote}><p>{want}</article>"), None) == want
+
+
+def test_stray_and_unclosed_quotes():
+    assert pages.main_text(pages.read("<p title='x''>a</p><p alt=don't>b</p><p id='c>c</p>"), None) == "a\n\nb\n\nc"
+    started = time.perf_counter()
+    for text in ("<a t='>' " * 100_000, "<a t='x> " * 100_000, "<a t='\">y " * 100_000, "<a t=" * 100_000):
+        pages.read(text + "<p>")
+    assert time.perf_counter() - started < 20
