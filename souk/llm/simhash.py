@@ -256,10 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
                 max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
-    """__id, __th (hash of the text), __fp and __group of every row.
+    """__id, __th (hash of the text), __fp, __root and __group of every row.
 
-    Rows link when their fingerprints differ in at most max_bits bits; __group is the smallest key
-    reachable (null keys count only where there is no other). Null and empty texts and texts of
+    Rows link when their fingerprints differ in at most max_bits bits; __root is the least fingerprint
+    reachable, which tells groups apart, and __group the smallest key reachable (null keys count only
+    where there is no other; groups may share a repeated key). Null and empty texts and texts of
     white space have fingerprint zero and link like any other. Empty table: empty result.
     """
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
@@ -271,7 +272,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         "root", F.coalesce("root", "fp")).select("fp", "least", "root")
     member = s.settle(member, "members")
     lowest = member.groupBy("root").agg(F.min("least").alias("__group"))
-    named = s.settle(member.join(lowest, "root").select("fp", "__group"), "named")
+    named = s.settle(member.join(lowest, "root").select("fp", F.col("root").alias("__root"), "__group"), "named")
     return rows.join(named, F.col("__fp") == F.col("fp")).drop("fp")
 
 
@@ -279,10 +280,8 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size
                   max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group: the smallest key; of rows that share it, the least hash of the text."""
     groups = s.settle(near_groups(docs, key, text, size, max_bits), "groups")
+    # All rows of `first` in one group have one key, which is null only where the group has no other.
     first = groups.where(s.same(F.col("__id"), F.col("__group")))
-    # A null group holds only null keys; such groups are told apart by their fingerprints' roots.
-    counted = first.groupBy("__id", "__th", "__fp").agg(F.count("*").alias("__n"))
-    best = counted.where("__id is not null").groupBy("__id").agg(
-        F.min(F.struct("__th", "__n")).alias("m")).select("__id", "m.__th", "m.__n")
-    nulls = counted.where("__id is null").select("__id", "__th", "__n").distinct()
-    return s.keep_listed(docs, best.unionByName(nulls), key, text)
+    counted = first.groupBy("__root", "__id", "__th").agg(F.count("*").alias("__n"))
+    best = counted.groupBy("__root", "__id").agg(F.min(F.struct("__th", "__n")).alias("m"))
+    return s.keep_listed(docs, best.select("__id", "m.__th", "m.__n"), key, text)

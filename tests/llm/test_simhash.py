@@ -95,3 +95,14 @@ def test_one_row_of_each_group_stays(documents):
 def test_empty_table(documents):
     assert simhash.near_groups(documents()).collect() == []
     assert simhash.simhash_dedup(documents()).collect() == []
+
+
+def test_groups_that_share_a_key_and_groups_of_null_keys(documents):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    near = [t.upper() for t in (a, b, c, d)]  # another text, the same fingerprint
+    docs = documents((7, a), (7, b), (8, near[0]), (9, near[1]), (7, a), (None, c), (None, near[2]), (None, d),
+                     (None, near[3]), (None, near[1]))
+    groups = simhash.near_groups(docs).collect()
+    assert len({r["__root"] for r in groups}) == 4
+    kept = [(r["doc_id"], r["text"].lower()) for r in simhash.simhash_dedup(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(7, a), (7, b), (None, c), (None, d)], key=str)
