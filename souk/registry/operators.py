@@ -684,17 +684,20 @@ def _(spark, d):
     return profile.numeric_profile(picked.select("l_quantity", "l_tax"))
 
 
-PROFILED = ("item_price", "freight_value", "total_item_value", "total_installments")
+PROFILED = ("item_price", "freight_value", "total_item_value", "payment_value", "total_installments")
 
 
 @query("a23_numeric_profile_of_table", " union all ".join(
-    f"""select '{c}' as column_name, n as "count", lo as "min", round(q[1], 6) as q25, round(q[2], 6) as q50, round(q[3], 6) as q75, hi as "max"
-    from (select count({c}) as n, cast(min({c}) as double) as lo, cast(max({c}) as double) as hi,
+    f"""select '{c}' as column_name, n as "count", round(m, 6) as mean, round(s, 6) as std, lo as "min",
+           round(q[1], 6) as q25, round(q[2], 6) as q50, round(q[3], 6) as q75, hi as "max"
+    from (select count({c}) as n, avg(cast({c} as double)) as m, stddev_samp(cast({c} as double)) as s,
+          cast(min({c}) as double) as lo, cast(max({c}) as double) as hi,
           quantile_cont(cast({c} as double), [0.25, 0.5, 0.75]) as q
           from fact_sales)""" for c in PROFILED))
 def _(spark, d):
     profiled = profile.numeric_profile(marts(spark, d)["fact_sales"].select(*PROFILED))
-    return profiled.select("column_name", "count", "min", *(F.round(q, 6).alias(q) for q in ("q25", "q50", "q75")), "max")
+    rounded = ("mean", "std", "q25", "q50", "q75")
+    return profiled.select(*(F.round(c, 6).alias(c) if c in rounded else c for c in profiled.columns))
 
 
 @query("a24_value_counts", """select 'order_status' as column_name, order_status as value, count(*) as n

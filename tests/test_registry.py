@@ -37,3 +37,10 @@ def test_only_file_metadata_lacks_sql():
 
 def test_entry_runs(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_the_profile_of_the_table_is_whole(spark):
+    rows = {r["column_name"]: r for r in queries.QUERIES["a23_numeric_profile_of_table"](spark, SF).collect()}
+    assert set(rows) == {"item_price", "freight_value", "total_item_value", "payment_value", "total_installments"}
+    assert all(r[c] is not None for r in rows.values()
+               for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max"))
