@@ -38,9 +38,3 @@ def raw(spark):
         return df.withColumn(model.LOAD_STAMP, df[model.LOAD_STAMP].cast("timestamp"))
 
     return build
-
-
-def rows(df, *order):
-    """Rows as dicts, sorted."""
-    data = [r.asDict() for r in df.collect()]
-    return sorted(data, key=lambda r: tuple(repr(r[c]) for c in (order or df.columns)))

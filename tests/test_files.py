@@ -6,8 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
-from shop import shop
+from shop import rows, shop
 from souk import model
 from souk.model import MARTS
 from souk.operators import profile

@@ -8,8 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import rows
-from shop import raw_shop
+from shop import raw_shop, rows
 from souk import model
 from souk.model import MARTS, Mart
 from souk.operators import history, incremental

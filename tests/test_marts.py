@@ -2,8 +2,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from conftest import rows
-from shop import shop
+from shop import rows, shop
 
 
 def by(df, key):

@@ -7,8 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from conftest import rows
-from shop import shop
+from shop import rows, shop
 from souk.model import MARTS
 from souk.operators import joins
 from souk.operators.dedup import keep_latest

@@ -4,8 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import rows
-from shop import shop
+from shop import rows, shop
 from souk.operators.quality import Check, run_checks
 from souk.plans import checks
 

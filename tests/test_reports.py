@@ -7,8 +7,7 @@ import inspect
 import duckdb
 import pytest
 
-from conftest import rows
-from shop import shop
+from shop import rows, shop
 from souk import model
 from souk.plans import reports, rollups
 from souk.registry import checksql, reportsql

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 from decimal import Decimal
 
-from conftest import rows
+from shop import rows
 from souk.operators.dedup import keep_latest
 from souk.plans import staging
 
