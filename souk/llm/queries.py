@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, chat, decontaminate, exact, pages, quality, recompress, repair, simhash, toxicity
+from souk.llm import (bpe, chat, decontaminate, exact, middle, pages, quality, recompress, repair, simhash,
+                      toxicity)
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +130,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__group").alias("component_id"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = middle.fill_in_middle(docs)
+    return done.select(
+        "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"),
+        F.col("__prefix_chars").alias("prefix_chars"), F.col("__middle_chars").alias("middle_chars"),
+        F.sha2("__output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("__output"), F.col("__form")), 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units
+  from documents),
+numbers as (
+  select *, len(units) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+         ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from units),
+forms as (
+  select doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, units,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                   or h3 % 100 >= 50 then 'plain'
+              when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from numbers),
+cuts as (
+  select *, array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m,
+         array_to_string(units[b + 1:], '') as s from forms)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from cuts
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -140,9 +177,11 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_runs": op9_repeated_runs,
     "op10_simhash": op10_simhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
