@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import (bpe, chat, decontaminate, exact, middle, pages, quality, recompress, repair, simhash,
+from souk.llm import (bpe, chat, decontaminate, exact, middle, pages, personal, quality, recompress, repair, simhash,
                       toxicity)
 from souk.llm.shared import table
 
@@ -130,6 +130,71 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__group").alias("component_id"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find_personal(docs)
+    base = [k.name for k in personal.KINDS if k.base]
+    return found.select(
+        "doc_id", *(personal.count_of(k).alias(f"n_{k}") for k in base),
+        F.sha2(personal.listed(F.filter("__spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+        personal.listed(F.col("__spans")).alias("spans"))
+
+
+_OP12_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 "
+          "or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0",
+    "card": "length(d) between 13 and 19 and list_sum(list_transform(range(1, least(length(d), 19) + 1), lambda i: "
+            "case when i % 2 = 1 then reverse(d)[i]::int else (reverse(d)[i]::int * 2) // 10 + (reverse(d)[i]::int * 2) % 10 end)) "
+            "% 10 = 0",
+    "phone": "length(d) between 9 and 15",
+    "iban": "length(replace(m, ' ', '')) between 15 and 34 and list_reduce(list_transform(string_split(array_to_string("
+            "list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), lambda c: case when c between '0' and '9' "
+            "then c else (ascii(c) - 55)::varchar end), ''), ''), lambda x: x::int), lambda a, x: (a * 10 + x) % 97) = 1",
+    "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') and m[1:3] not in ('000', '666') and m[1:3] < '900' "
+           "and m[5:6] <> '00' and m[8:11] <> '0000'",
+    "birth": "regexp_full_match(m, '(?:19|20)[0-9]{2}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12][0-9]|3[01])') or regexp_full_match(m, "
+             "'(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2}') or regexp_full_match(m, "
+             "'(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}')",
+}
+
+
+def _op12_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    met, score, valid = [], [], []
+    for n, k in enumerate(personal.KINDS):
+        met.append(f"select rid, {n} as ord, '{k.name}' as kind, regexp_extract_all(text, {quoted(k.pattern)}) as ms, "
+                   f"regexp_split_to_array(text, {quoted(k.pattern)}) as gs from docs")
+        near = "right(before, 40) || ' ' || left(after, 40)"
+        points = str(k.score)
+        if k.for_it:
+            points += f" + case when regexp_matches({near}, {quoted(k.for_it)}) then {k.gain} else 0 end"
+        if k.against:
+            points += f" - case when regexp_matches({near}, {quoted(k.against)}) then {k.loss} else 0 end"
+        score.append(f"when {n} then {'100' if k.base else points}")
+        valid.append(f"when {n} then {_OP12_VALID[k.name]}")
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+met as ({' union all '.join(met)}),
+each as (select rid, ord, kind, ms, gs, unnest(range(1, len(ms) + 1)) as i from met),
+found as (select rid, ord, kind, i, ms[i] as m, gs[i] as before, gs[i + 1] as after,
+                 regexp_replace(ms[i], '[^0-9]', '', 'g') as d,
+                 sum(length(gs[i]) + length(ms[i])) over (partition by rid, ord order by i) as e from each),
+kept as (select rid, ord, kind, e - length(m) as s, kind || ':' || (e - length(m))::varchar || ':' || e::varchar as span
+         from found where case ord {' '.join(valid)} end and case ord {' '.join(score)} end >= {personal.THRESHOLD}),
+listed as (select rid, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
+                  count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+                  string_agg(span, ',' order by ord, s) filter (ord < 4) as base,
+                  string_agg(span, ',' order by ord, s) as spans from kept group by rid)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
+       coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join listed using (rid)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = middle.fill_in_middle(docs)
@@ -177,11 +242,13 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_runs": op9_repeated_runs,
     "op10_simhash": op10_simhash,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op12_personal_data": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
