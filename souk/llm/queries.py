@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import (bpe, chat, decontaminate, exact, middle, pages, personal, quality, recompress, repair, simhash,
-                      toxicity)
+from souk.llm import (bpe, centroids, chat, decontaminate, exact, middle, pages, personal, quality, recompress, repair,
+                      simhash, toxicity)
 from souk.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__group").alias("component_id"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = centroids.cluster(vectors)
+    totals = found.totals()
+    per_cluster = spark.createDataFrame(
+        [(c, totals.get(c, 0), sum(totals.values()), digest) for c, digest in enumerate(found.digests())],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")  # a row for each centroid
+    return found.rows.select("vec_id", F.col("__cluster").alias("cluster"), F.col("__distance").alias("distance")).join(
+        F.broadcast(per_cluster), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql() -> str:
+    """The rounds written out one after the other."""
+    steps = ["""
+with kept as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), v) - 1 as c, v from kept qualify c < 8)"""]
+    near = """
+select rid, vec_id, v, min(struct_pack(d := d, c := c)) as best from (
+    select kept.*, m.c, list_sum(list_transform(list_zip(kept.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+    from kept, {c} m) group by all"""
+    for i in range(10):
+        steps.append(f"""
+a{i} as materialized ({near.format(c=f"c{i}")}),
+s{i} as (select best.c as c, unnest(range(1, 65)) as place, unnest(v) as x from a{i}),
+t{i} as (select c, place, sum(x) as t, count(*) as n from s{i} group by all),
+u{i} as (select c, list(((t - ((t % n) + n) % n) // n)::bigint order by place) as v from t{i} group by c),
+c{i + 1} as materialized (select c{i}.c, coalesce(u{i}.v, c{i}.v) as v from c{i} left join u{i} using (c))""")
+    steps.append(f"\nz as materialized ({near.format(c='c10')})")
+    return ",".join(steps) + """
+select z.vec_id, z.best.c::int as cluster, z.best.d as distance, sum(z.best.d) over (partition by z.best.c)::bigint as cluster_inertia,
+       sum(z.best.d) over ()::bigint as inertia, sha256(array_to_string(c10.v, ',')) as centroid_sha256
+from z join c10 on c10.c = z.best.c
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal.find_personal(docs)
@@ -242,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_repeated_runs": op9_repeated_runs,
     "op10_simhash": op10_simhash,
+    "op11_centroid_clusters": op11_centroid_clusters,
     "op12_personal_data": op12_personal_data,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -249,6 +293,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op11_centroid_clusters": OP11_SQL,
     "op12_personal_data": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
