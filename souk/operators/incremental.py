@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk import model
 
@@ -44,12 +45,23 @@ def not_older(rows: DataFrame, stored: DataFrame, key: str, stamp: str) -> DataF
     return rows.join(held, (F.col(key) == F.col("_key")) & (F.col("_stamp") > F.col(stamp)), "left_anti")
 
 
+def synced(have: T.StructType, wanted: T.StructType) -> list[Column]:
+    """Columns of one layout in another: new ones NULL, removed ones dropped, types changed where the value allows."""
+    kinds = {f.name: f.dataType for f in have}
+    out = []
+    for f in wanted:
+        if f.name not in kinds:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif kinds[f.name] == f.dataType:
+            out.append(F.col(f.name))
+        else:
+            out.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+    return out
+
+
 def sync_columns(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Target rows in the source's layout: new columns NULL, removed columns dropped."""
-    have = {f.name for f in target.schema}
-    return target.select(*(
-        F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in source.schema))
+    """Target rows in the source's layout."""
+    return target.select(*synced(target.schema, source.schema))
 
 
 def upsert(target: DataFrame | None, source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from souk import model
 from souk.model import MARTS, Mart
 from souk.operators import history, incremental
-from souk.plans import dimensions, facts
+from souk.plans import dimensions, facts, increments
 from souk.plans.staging import STAGING
 from souk.sources import tables
+from souk.sources.loads import RawLoads
 
 # Marts in the order their inputs allow; the tables of a step do not depend on each other.
 STEPS = (
@@ -66,7 +67,10 @@ class Warehouse(Mapping[str, DataFrame]):
         return f"{self.root}/{name}"
 
     def _stored(self, name: str) -> DataFrame:
-        if self.root is None or (name not in MARTS and name not in STORED):
+        if self.root is not None and isinstance(self.raw, RawLoads) and name in STAGING:
+            return self.state(name).drop(tables.PERIOD, increments.KEY)
+        kept = name in MARTS or (name in STORED and not isinstance(self.raw, RawLoads))
+        if self.root is None or not kept:
             return self.define(name)
         if self.is_stored(name):
             return self._opened(name)
@@ -133,6 +137,36 @@ class Warehouse(Mapping[str, DataFrame]):
                 list(pool.map(self.store, step))
         return self.marts()
 
+    def build_from(self, raw: Mapping[str, DataFrame]) -> None:
+        """Write every mart and the state of every staging table from these raw rows."""
+        plans = Warehouse(self.spark, raw, self.regions, self.root, self.grain)
+
+        def keep_state(name: str) -> None:
+            mart = increments.state_mart(name)
+            tables.write_mart(increments.with_key(plans.define(name), name), self.path(mart.name), mart, self.grain)
+            plans.adopt(name, self.state(name).drop(tables.PERIOD, increments.KEY))
+        with ThreadPoolExecutor(increments.THREADS) as pool:
+            list(pool.map(keep_state, STAGING))
+            for step in STEPS:
+                list(pool.map(plans.store, [name for name in step if name not in STAGING]))
+        tables.delete(self.spark, self.path("order_facts"))  # increments make the part they need
+        self.forget()
+
+    def state(self, name: str) -> DataFrame:
+        """The present row of every key of a staging table, as the last increment left it."""
+        mart = increments.state_mart(name)
+        return tables.read_mart(self.spark, self.path(mart.name), None, tables.is_partitioned(mart, self.grain))
+
+    def forget(self) -> None:
+        """Look stored tables up anew."""
+        self._frames = dict(self._given)
+
+    def opened_mart(self, name: str, schema: T.StructType) -> DataFrame:
+        return self._read(MARTS[name], schema)
+
+    def merge_into(self, name: str, rows: DataFrame) -> None:
+        self._merge(MARTS[name], rows)
+
     def marts(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in MARTS}
 
@@ -156,7 +190,11 @@ class Warehouse(Mapping[str, DataFrame]):
         stamp of an earlier one, or changed because of another table (an order's payment, review,
         customer or date) is merged like any other, and without news no file changes. So that a
         fact's order keeps one customer, day, payment and review, all its items change together.
+        Over raw loads nothing is compared: the loads not merged so far bring all marts up together.
         """
+        if isinstance(self.raw, RawLoads):
+            self.refresh_all()
+            return self[name]
         with self._inputs() as inputs:
             return self._refresh(name, inputs)
 
@@ -165,7 +203,6 @@ class Warehouse(Mapping[str, DataFrame]):
         if not self.is_stored(name):
             tables.write_mart(fresh, path, mart, self.grain)
         else:
-            tables.finish_publish(self.spark, path, mart, self.grain)
             rows = incremental.differing(fresh, self._read(mart, fresh.schema), mart.key)
             self._merge(mart, rows)
         return self._use(name, self._read(mart, fresh.schema))
@@ -185,7 +222,6 @@ class Warehouse(Mapping[str, DataFrame]):
         if not self.is_stored(name):
             tables.write_mart(rows, path, mart, self.grain)
         else:
-            tables.finish_publish(self.spark, path, mart, self.grain)
             self._merge(mart, incremental.not_older(rows, self._read(mart, rows.schema), mart.key, mart.stamp))
         return self._use(name, self._read(mart, rows.schema))
 
@@ -213,7 +249,6 @@ class Warehouse(Mapping[str, DataFrame]):
         if not tables.is_complete(self.spark, path):
             tables.write_mart(full, path, mart, grain)
         else:
-            tables.finish_publish(self.spark, path, mart, grain)
             stored = tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD)
             fresh, ended = history.changed_versions(stored, load, key, model.LOAD_STAMP)
             tables.merge_mart(self.spark, path, fresh.unionByName(ended), mart,
@@ -221,7 +256,10 @@ class Warehouse(Mapping[str, DataFrame]):
         return self._use(name, tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD))
 
     def refresh_all(self) -> None:
-        """A daily run: histories of the raw tables, then every mart."""
+        """A daily run: histories of the raw tables, then every mart. Raw loads merged before are not read."""
+        if isinstance(self.raw, RawLoads):
+            increments.refresh(self)
+            return
         for entity in model.SNAPSHOTS:
             self.snapshot(entity)
         with self._inputs() as inputs:

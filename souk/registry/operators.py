@@ -22,7 +22,8 @@ from souk.registry import checksql as Q
 from souk.registry import reportsql as R
 from souk.registry.queries import (
     TABLE_COLUMNS, marts, plans, query, register, scratch, shown)
-from souk.sources import tables, text
+from souk.sources import live, tables, text
+from souk.sources.loads import RawLoads
 from souk.sources.seeds import read_seed
 from souk.streaming.arrivals import merge_arrivals
 
@@ -1039,21 +1040,80 @@ _refresh_query("w1_w2_refresh_fact_late_reviews", "fact_sales", ("order_items",)
 _refresh_query("s6_reopened_mart", "dim_orders", ("orders",), reopen=True)
 
 
+_increments: dict[tuple[str, str], Warehouse] = {}
+
+
+def _by_loads(spark, d) -> Warehouse:
+    """A warehouse kept up from loads: orders, payments, reviews and items in two, the later ones with older stamps
+    too; customers and products in three, one of them a former version of rows that are there already."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _increments:
+        raw, root = tb.raw_tables(spark, d), scratch(spark, d, f"loads_{uuid4().hex}")
+        loads = RawLoads(spark, f"{root}/raw")
+        w = Warehouse(spark, loads, tb.region_seed(spark, d), f"{root}/marts", "year")
+        dealt = {e: F.pmod(F.xxhash64(*model.ENTITIES[e].keys), F.lit(3)) for e in tb.RAW_SQL}
+        old = {"customers": "customer_city", "products": "product_category_name", "orders": "order_status"}
+        for n in range(3):
+            for e in tb.RAW_SQL:
+                rows = raw[e].filter(dealt[e] == n)
+                if e in old and n < 2:  # the next load's rows as they once were
+                    then = raw[e].filter(dealt[e] == n + 1).withColumn(old[e], F.lit("once")).withColumn(
+                        model.LOAD_STAMP, F.col(model.LOAD_STAMP) - F.expr("interval 40 years"))
+                    rows = rows.unionByName(then)
+                loads.add(e, rows, f"load{n}")
+            w.refresh_all()
+        _increments[key] = w
+    return _increments[key]
+
+
+for _mart in TABLE_COLUMNS:
+    if _mart in model.MARTS:
+        register(f"w1_loads_{_mart}", lambda spark, d, name=_mart: _by_loads(spark, d)[name].drop("period"),
+                 Q.query(f"select {shown(TABLE_COLUMNS[_mart])} from {_mart}"))
+
+
 @query("w2_retry", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")
 def _(spark, d):
-    """A merge that stops after its journal is written and the first files are replaced; then the next run."""
+    """A merge that stops after its files are written, before they are listed; then the next run."""
     raw = tb.raw_tables(spark, d)["orders"]
     root = scratch(spark, d, f"retry_{uuid4().hex}")
     seed, mart = tb.region_seed(spark, d), model.MARTS["dim_orders"]
     stored = Warehouse(spark, {"orders": _early(raw)}, seed, root, "year").refresh("dim_orders")
     rows = Warehouse(spark, {"orders": raw}, seed).define("dim_orders")
-    path, staging = f"{root}/dim_orders", f"{root}/_staging/stopped"
-    touched = tables.stage_merge(spark, path, incremental.differing(rows, stored, mart.key), mart, staging, "year")
-    tables.write_journal(spark, path, staging, touched)
-    tables.delete(spark, f"{path}/period={touched[0]}")
+    version = live.new_version(live.opened(spark, f"{root}/dim_orders").number + 1)
+    tables.arranged(incremental.differing(rows, stored, mart.key), mart, "year").write.partitionBy("period").parquet(
+        f"{root}/dim_orders/{live.VERSION}={version}")
     return Warehouse(spark, {"orders": raw}, seed, root, "year").refresh("dim_orders").drop("period")
 
 
+@query("w2_readers_around_a_merge", f"""select 'before' as opened, order_key, order_status from dim_orders
+       where modified_at < timestamp '{CUT}' union all select 'after', order_key, order_status from dim_orders""")
+def _(spark, d):
+    """One reader opens the mart before a merge and reads it afterwards, another opens it after the merge."""
+    raw = tb.raw_tables(spark, d)["orders"]
+    root, seed = scratch(spark, d, f"readers_{uuid4().hex}"), tb.region_seed(spark, d)
+    before = Warehouse(spark, {"orders": _early(raw)}, seed, root, "year").refresh("dim_orders")
+    after = Warehouse(spark, {"orders": raw}, seed, root, "year").refresh("dim_orders")
+    columns = ["order_key", "order_status"]
+    return (before.select(F.lit("before").alias("opened"), *columns)
+            .unionByName(after.select(F.lit("after").alias("opened"), *columns)))
+
+
+@query("w4_changed_type", f"""select order_key, case when modified_at >= timestamp '{CUT}' or days_to_delivery % 2 = 0
+       then days_to_delivery end as days_to_delivery from dim_orders""")
+def _(spark, d):
+    """A stored text column becomes a number: what no number is becomes NULL in the periods not touched."""
+    orders = marts(spark, d)["dim_orders"]
+    path, mart = scratch(spark, d, f"types_{uuid4().hex}"), model.MARTS["dim_orders"]
+    days = F.col("days_to_delivery")
+    before = _early(orders, "modified_at").select("order_key", "modified_at", F.when(
+        days % 2 == 0, days.cast("string")).otherwise("n/a").alias("days_to_delivery"))
+    fresh = _late(orders, "modified_at").select("order_key", "modified_at", days.cast("bigint").alias("days_to_delivery"))
+    tables.write_mart(before, path, mart, "year")
+    tables.merge_mart(spark, path, fresh, mart, f"{path}_staging", "year")
+    return tables.read_mart(spark, path).select("order_key", "days_to_delivery")
+
+
 @query("w2_stream_late_file", f"select {shown(TABLE_COLUMNS['dim_orders'])} from dim_orders")
 def _(spark, d):
     """The file with the older stamps arrives last."""

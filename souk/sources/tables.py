@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from functools import reduce
 
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.model import Mart
-from souk.operators.incremental import upsert
+from souk.operators.incremental import sync_columns, synced
+from souk.sources import live
 
 PERIOD = "period"
 GRAINS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -46,151 +46,114 @@ def arranged(df: DataFrame, mart: Mart, grain: str | None) -> DataFrame:
 
 
 def write_mart(df: DataFrame, path: str, mart: Mart, grain: str | None = "day") -> None:
-    """Full write of a mart, partitioned on the period of its day column."""
-    writer = arranged(df, mart, grain).write.mode("overwrite")
-    if is_partitioned(mart, grain):
-        writer = writer.partitionBy(PERIOD)
-    writer.parquet(path)
+    """Full write of a mart, partitioned on the period of its day column; readers see it when it is whole."""
+    spark = df.sparkSession
+    before = live.opened(spark, path) or live.Live()
+    version, written = _write_version(df, path, mart, grain, before.number + 1)
+    live.publish(spark, path, before.replaced(list(before.held), version, written, df.schema))
+    live.expire(spark, path)
+
+
+def _write_version(df: DataFrame, path: str, mart: Mart, grain: str | None, number: int) -> tuple[str, list[str | None]]:
+    """Rows in a version folder that no list names yet, and the periods they came to."""
+    spark, version = df.sparkSession, live.new_version(number)
+    folder = f"{path}/{live.VERSION}={version}"
+    if not is_partitioned(mart, grain):
+        arranged(df, mart, grain).write.parquet(folder)
+        return version, [None]
+    arranged(df, mart, grain).write.partitionBy(PERIOD).parquet(folder)
+    return version, [n.partition("=")[2] for n in live.names_in(spark, folder) if n.startswith(f"{PERIOD}=")]
 
 
 def read_mart(spark: SparkSession, path: str, schema: T.StructType | None = None,
               partitioned: bool = True) -> DataFrame:
-    """Mart rows. The period column stays: filters on it skip whole directories.
+    """Mart rows as they are now; later merges do not change what this frame reads.
 
-    With a schema, files written before a column existed give NULL for it and columns that are
-    gone are not read, whichever periods were rewritten since.
+    The period column stays: filters on it skip whole directories. With a schema, files written in
+    another layout are read as they were written and turned to it: columns they lack are NULL, columns that are
+    gone are left out, a value that does not fit a column's new type is NULL.
     """
-    reader = spark.read.option("basePath", path)
-    if schema is not None:
-        fields = [f for f in schema if f.name != PERIOD]
-        period = [T.StructField(PERIOD, T.StringType())] if partitioned else []
-        reader = reader.schema(T.StructType(fields + period))
-    return reader.parquet(path)
-
-
-def is_partitioned(mart: Mart, grain: str | None) -> bool:
-    return grain is not None and mart.day_column is not None
+    now = live.opened(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"nothing is stored in {path}")
+    wanted = T.StructType([f for f in schema or now.schema() if f.name != PERIOD])
+    inside = [T.StructField(live.VERSION, T.StringType())]
+    inside += [T.StructField(PERIOD, T.StringType())] if partitioned else []
+    parts = []
+    for layout, periods in now.by_layout():
+        held = T.StructType([f for f in layout if f.name != PERIOD])
+        alike = {(f.name, f.dataType) for f in wanted} >= {(f.name, f.dataType) for f in held if f.name in wanted.names}
+        rows = (spark.read.option("basePath", path).schema(T.StructType([*(wanted if alike else held), *inside]))
+                .parquet(*(now.folder(path, p, PERIOD) for p in periods)).drop(live.VERSION))
+        parts.append(rows if alike else _in_layout(rows, wanted, partitioned))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*wanted, *inside[1:]]))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def stage_merge(spark: SparkSession, path: str, source: DataFrame, mart: Mart, staging: str,
-                grain: str | None = "day") -> list[str] | None:
-    """Write the merged rows of every period the upsert changes to `staging`; list those periods.
+def _in_layout(rows: DataFrame, wanted: T.StructType, partitioned: bool) -> DataFrame:
+    period = [F.col(PERIOD)] if partitioned else []
+    return rows.select(*synced(rows.schema, wanted), *period)
 
-    None if there is nothing to merge.
 
-    The new rows are written first: they are used three times, and once their size is known a
-    small increment is broadcast instead of shuffling the stored rows. Periods are those of the
-    new rows and those now holding an old copy of a merged key; the latter are found by a scan
-    of the key column alone. Untouched periods are not read.
-    """
-    source.write.mode("overwrite").parquet(f"{staging}/rows")
-    rows = spark.read.schema(source.schema).parquet(f"{staging}/rows")
-    if rows.isEmpty():
-        return None
-    merged = f"{staging}/merged"
-    stored = read_mart(spark, path, source.schema, is_partitioned(mart, grain))
-    if not is_partitioned(mart, grain):
-        upsert(stored, rows, [mart.key]).write.mode("overwrite").parquet(merged)
-        return []
-    holders = stored.select(mart.key, PERIOD).join(rows.select(mart.key), mart.key, "left_semi")
-    periods = holders.select(F.col(PERIOD).cast("string")).union(rows.select(period_of(mart, grain))).distinct()
-    # One value per calendar period, so the list is short whatever the data volume.
-    touched = sorted(r[0] for r in periods.collect())
-    current = stored.filter(F.col(PERIOD).cast("string").isin(touched)).drop(PERIOD)
-    upsert(current, rows, [mart.key]).write.mode("overwrite").parquet(merged)
-    return touched
-
-
-def publish_merge(spark: SparkSession, path: str, mart: Mart, staging: str, touched: list[str],
-                  grain: str | None = "day") -> None:
-    """Replace the touched periods by the staged rows. Repeatable: it reads nothing it replaces."""
-    staged = spark.read.parquet(f"{staging}/merged")
-    if not is_partitioned(mart, grain):
-        write_mart(staged, path, mart, None)
-        return
-    (arranged(staged, mart, grain).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path))
-    kept = {r[0] for r in staged.select(period_of(mart, grain)).distinct().collect()}
-    _drop_periods(spark, path, sorted(set(touched) - kept))
+def is_partitioned(mart: Mart, grain: str | None) -> bool:
+    return grain is not None and mart.day_column is not None
 
 
 def merge_mart(spark: SparkSession, path: str, source: DataFrame, mart: Mart, staging: str,
                grain: str | None = "day") -> None:
     """Upsert `source` into a stored mart, rewriting only the periods that change.
 
-    `staging` is a folder of this merge alone. Before anything of the mart is replaced, a journal
-    beside it names the staged rows; a run that stops half way leaves it, and the next merge first
-    replaces the same periods again. Without rows to merge no file changes.
+    The new rows are written to `staging` first, a folder of this merge alone: they are used three times, and
+    once their size is known a small increment is broadcast instead of shuffling the stored rows. Without
+    rows nothing is written.
     """
-    finish_publish(spark, path, mart, grain)
-    touched = stage_merge(spark, path, source, mart, staging, grain)
-    if touched is not None:
-        write_journal(spark, path, staging, touched)
-        finish_publish(spark, path, mart, grain)
+    rows = _staged(source, f"{staging}/rows")
+    if not rows.isEmpty():
+        replace_rows(spark, path, rows, rows.select(mart.key), mart, grain)
     delete(spark, staging)
 
 
-def write_journal(spark: SparkSession, path: str, staging: str, touched: list[str]) -> None:
-    """From here on the staged rows will be published, by this run or the next."""
-    _write_text(spark, _journal(path), json.dumps({"staging": staging, "touched": touched}))
-
-
-def finish_publish(spark: SparkSession, path: str, mart: Mart, grain: str | None = "day") -> None:
-    """Carry out the publish that the mart's journal names, if there is one."""
-    journal = _read_text(spark, _journal(path))
-    if journal is not None:
-        plan = json.loads(journal)
-        publish_merge(spark, path, mart, plan["staging"], plan["touched"], grain)
-        delete(spark, _journal(path))
-        delete(spark, plan["staging"])
-
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _journal(path: str) -> str:
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return f"{folder}/_journal/{name}.json"
 
+def replace_rows(spark: SparkSession, path: str, rows: DataFrame, keys: DataFrame, mart: Mart, grain: str | None = "day",
+                 periods: list[str] | None = None) -> None:
+    """Take `rows` in place of all stored rows whose key is among `keys` (one column, named as stored).
 
-def _place(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    `periods` names those that may hold such a row. If it is not known, they are found by a scan of the key column
+    alone. Other periods are neither read nor written. The merged periods go to a new version folder, then the list
+    of live folders is replaced: readers see the merge whole or not at all, a writer that stops changes nothing.
+    """
+    before = live.opened(spark, path)
+    stored = read_mart(spark, path, rows.schema, is_partitioned(mart, grain))
+    key, = keys.columns
+    if is_partitioned(mart, grain):
+        if periods is None:
+            holders = stored.select(key, PERIOD).join(keys, key, "left_semi").select(PERIOD).distinct()
+            periods = [r[0] for r in holders.collect()]  # one value per calendar period, whatever the data volume
+        coming = [r[0] for r in rows.select(period_of(mart, grain)).distinct().collect()]
+        touched = sorted({*periods, *coming})
+        if not touched:
+            return
+        stored = stored.filter(F.col(PERIOD).isin(touched)).drop(PERIOD)
+    else:
+        touched = [None]
+    merged = sync_columns(stored.join(keys, key, "left_anti"), rows).unionByName(rows)
+    version, written = _write_version(merged, path, mart, grain, before.number + 1)
+    live.publish(spark, path, before.replaced(touched, version, written, rows.schema))
+    live.expire(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    where, fs = _place(spark, path)
-    fs.delete(where, True)
+    live.delete(spark, path)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """A full write has ended here: Spark leaves its mark last. A pending journal also counts."""
-    return any(fs.exists(where) for where, fs in (_place(spark, f"{path}/_SUCCESS"), _place(spark, _journal(path))))
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written aside and renamed, so that a reader sees all of it or none."""
-    aside, fs = _place(spark, f"{path}.new")
-    stream = fs.create(aside, True)
-    stream.write(bytearray(text, "utf-8"))
-    stream.close()
-    where, _ = _place(spark, path)
-    if not fs.rename(aside, where):
-        raise OSError(f"cannot write {path}")
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    where, fs = _place(spark, path)
-    if not fs.exists(where):
-        return None
-    stream = fs.open(where)
-    try:
-        return bytes(stream.readAllBytes()).decode("utf-8")
-    finally:
-        stream.close()
-
-
-def _drop_periods(spark: SparkSession, path: str, periods: list[str]) -> None:
-    """Remove periods whose last row has moved elsewhere."""
-    for p in periods:
-        delete(spark, f"{path}/{PERIOD}={p}")
+    """A full write has ended here: a list of live folders, or the mark that Spark leaves last."""
+    return live.opened(spark, path) is not None or "_SUCCESS" in live.names_in(spark, path)
 
 
 def table_info(tables: Mapping[str, DataFrame]) -> DataFrame:

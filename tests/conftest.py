@@ -28,13 +28,6 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def raw(spark):
     """Raw text rows of an entity: missing fields are NULL, the stamp is a text time."""
-    from souk import model
+    from shop import raw_rows
 
-    def build(entity: str, *rows: dict, stamp: str = "2020-01-01 00:00:00"):
-        columns = model.ENTITIES[entity].columns
-        schema = ", ".join(f"{c} string" for c in (*columns, model.LOAD_STAMP))
-        data = [tuple(r.get(c) for c in columns) + (r.get("at", stamp),) for r in rows]
-        df = spark.createDataFrame(data, schema)
-        return df.withColumn(model.LOAD_STAMP, df[model.LOAD_STAMP].cast("timestamp"))
-
-    return build
+    return raw_rows(spark)

@@ -71,6 +71,17 @@ def shop(spark, raw, root=None, grain=None):
     return Warehouse(spark, tables, read_seed(spark), root, grain, fill=True)
 
 
+def raw_rows(spark):
+    """Builder of raw text rows of an entity: missing fields are NULL, the stamp is a text time."""
+    def build(entity: str, *rows: dict, stamp: str = "2020-01-01 00:00:00"):
+        columns = model.ENTITIES[entity].columns
+        schema = ", ".join(f"{c} string" for c in (*columns, model.LOAD_STAMP))
+        data = [tuple(r.get(c) for c in columns) + (r.get("at", stamp),) for r in rows]
+        df = spark.createDataFrame(data, schema)
+        return df.withColumn(model.LOAD_STAMP, df[model.LOAD_STAMP].cast("timestamp"))
+    return build
+
+
 def rows(df, *order):
     """Rows as dicts, sorted."""
     data = [r.asDict() for r in df.collect()]

@@ -92,9 +92,9 @@ def test_binding_takes_paths_and_catalogue_tables(spark, tmp_path):
 def test_mart_files_are_partitioned_and_sorted(spark, raw, tmp_path):
     path = tmp_path / "fact"
     tables.write_mart(shop(spark, raw)["fact_sales"], str(path), MARTS["fact_sales"], "day")
-    days = sorted(p.name for p in path.iterdir() if p.is_dir())
+    days = sorted(p.name for p in path.glob("_version=*/period=*"))
     assert days[0] == "period=2017-01-10" and len(days) == 6
-    for file in path.glob("*/*.parquet"):
+    for file in path.glob("_version=*/period=*/*.parquet"):
         keys = pq.read_table(file, columns=["order_key"]).column(0).to_pylist()
         assert keys == sorted(keys)
     assert tables.read_mart(spark, str(path)).filter("period = '2017-01-31'").count() == 2

@@ -13,7 +13,7 @@ from souk import model
 from souk.model import MARTS, Mart
 from souk.operators import history, incremental
 from souk.plans.warehouse import Warehouse
-from souk.sources import tables
+from souk.sources import live, tables
 from souk.sources.seeds import read_seed
 
 DAY = datetime(2020, 1, 1)
@@ -109,10 +109,14 @@ def test_merge_leaves_other_periods_alone(spark, tmp_path):
     path = tmp_path / "t"
     tables.write_mart(spark.createDataFrame([("a", 1, DAY), ("b", 1, DAY + timedelta(days=40))], schema),
                       str(path), mart, "month")
-    before = sorted(p.name for p in (path / "period=2020-01").glob("*.parquet"))
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("period=*/*.parquet")}
     tables.merge_mart(spark, str(path), spark.createDataFrame([("b", 2, DAY + timedelta(days=41))], schema),
                       mart, str(tmp_path / "staged"), "month")
-    assert sorted(p.name for p in (path / "period=2020-01").glob("*.parquet")) == before
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("period=*/*.parquet")}
+    assert before.items() < after.items()
+    assert {p.parent.name for p in after.keys() - before.keys()} == {"period=2020-02"}
+    held = live.opened(spark, str(path)).held
+    assert sorted(held) == ["2020-01", "2020-02"] and held["2020-01"] < held["2020-02"]
 
 
 def test_merge_syncs_columns_of_untouched_periods(spark, tmp_path):
@@ -187,28 +191,74 @@ def test_late_payments_and_reviews_reach_the_fact(spark, raw, tmp_path):
         assert _content(tables.read_mart(spark, f"{root}/{name}")) == _content(full[name]), name
 
 
-@pytest.mark.parametrize("stop", ["publish_merge", "_drop_periods", "delete"])
+@pytest.mark.parametrize("stop", ["put_text", "rename_new"])
 @pytest.mark.parametrize("grain", [None, "month"])
-def test_a_merge_that_stops_is_finished_by_the_next(spark, tmp_path, monkeypatch, stop, grain):
+def test_a_merge_that_stops_changes_nothing(spark, tmp_path, monkeypatch, stop, grain):
     mart = Mart("t", "k", "modified_at", ("k",))
     schema, path = "k string, v int, modified_at timestamp", str(tmp_path / "t")
     stored = [("a", 1, DAY), ("b", 1, DAY), ("c", 1, DAY + timedelta(days=40))]
     tables.write_mart(spark.createDataFrame(stored, schema), path, mart, grain)
     fresh = spark.createDataFrame([("c", 2, DAY), ("d", 2, DAY + timedelta(days=70))], schema)
+    content = lambda: sorted((r["k"], r["v"]) for r in tables.read_mart(spark, path).collect())
 
     def fail(*_):
         raise OSError("stopped")
     with monkeypatch.context() as patched:
-        patched.setattr(tables, stop, fail)
-        if not (stop == "_drop_periods" and grain is None):
-            with pytest.raises(OSError):
-                tables.merge_mart(spark, path, fresh, mart, str(tmp_path / "s1"), grain)
-        else:
+        patched.setattr(live, stop, fail)
+        with pytest.raises(OSError):
             tables.merge_mart(spark, path, fresh, mart, str(tmp_path / "s1"), grain)
-    other = spark.createDataFrame([("e", 3, DAY)], schema)
-    tables.merge_mart(spark, path, other, mart, str(tmp_path / "s2"), grain)
-    got = [(r["k"], r["v"]) for r in tables.read_mart(spark, path).collect()]
-    assert sorted(got) == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3)]
+    assert content() == [("a", 1), ("b", 1), ("c", 1)]
+    tables.merge_mart(spark, path, fresh, mart, str(tmp_path / "s1"), grain)
+    tables.merge_mart(spark, path, spark.createDataFrame([("e", 3, DAY)], schema), mart, str(tmp_path / "s2"), grain)
+    assert content() == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3)]
+
+
+@pytest.mark.parametrize("grain", [None, "month"])
+def test_readers_see_a_merge_whole_or_not_at_all(spark, tmp_path, grain):
+    mart = Mart("t", "k", "modified_at", ("k",))
+    schema, path = "k string, v int, modified_at timestamp", str(tmp_path / "t")
+    tables.write_mart(spark.createDataFrame([("a", 0, DAY), ("b", 0, DAY)], schema), path, mart, grain)
+    opened = [tables.read_mart(spark, path)]
+    for n in range(1, 4):
+        tables.merge_mart(spark, path, spark.createDataFrame([("a", n, DAY + timedelta(days=40 * n))], schema), mart,
+                          str(tmp_path / "s"), grain)
+        opened.append(tables.read_mart(spark, path))
+    tables.write_mart(spark.createDataFrame([("z", 9, DAY)], schema), path, mart, grain)  # also a full write
+    for n, frame in enumerate(opened):
+        assert sorted((r["k"], r["v"]) for r in frame.collect()) == [("a", n), ("b", 0)]
+    assert [r["k"] for r in tables.read_mart(spark, path).collect()] == ["z"]
+
+
+def test_old_versions_expire_and_two_writers_do_not_mix(spark, tmp_path):
+    mart = Mart("t", "k", "modified_at", ("k",))
+    schema, path = "k string, v int, modified_at timestamp", str(tmp_path / "t")
+    tables.write_mart(spark.createDataFrame([("a", 0, DAY), ("b", 0, DAY + timedelta(days=40))], schema), path, mart, "month")
+    overtaken = live.opened(spark, path)
+    for n in range(1, 5):
+        tables.merge_mart(spark, path, spark.createDataFrame([("a", n, DAY)], schema), mart, str(tmp_path / "s"), "month")
+    with pytest.raises(live.OvertakenError):
+        live.publish(spark, path, overtaken.replaced([], "x", [], spark.createDataFrame([], schema).schema))
+    live.expire(spark, path, keep=2)
+    periods = sorted(str(p.relative_to(tmp_path / "t")).split("/")[1] for p in (tmp_path / "t").glob("_version=*/period=*"))
+    assert periods == ["period=2020-01", "period=2020-01", "period=2020-02"]
+    assert {r["k"]: r["v"] for r in tables.read_mart(spark, path).collect()} == {"a": 4, "b": 0}
+
+
+def test_a_changed_column_type_is_synced(spark, tmp_path):
+    """Text to number and back; a value that is no number becomes NULL; touched periods are written anew."""
+    mart = Mart("t", "k", "modified_at", ("k",))
+    path, staging = str(tmp_path / "t"), str(tmp_path / "s")
+    later = DAY + timedelta(days=40)
+    as_text = spark.createDataFrame([("a", "1", DAY), ("b", "x", DAY), ("c", "7", later)], "k string, v string, modified_at timestamp")
+    tables.write_mart(as_text, path, mart, "month")
+    numbers = spark.createDataFrame([("c", 8, later)], "k string, v bigint, modified_at timestamp")
+    tables.merge_mart(spark, path, numbers, mart, staging, "month")
+    assert {r["k"]: r["v"] for r in tables.read_mart(spark, path).collect()} == {"a": 1, "b": None, "c": 8}
+    assert {len(x[1]) for x in live.opened(spark, path).by_layout()} == {1}
+    back = spark.createDataFrame([("d", "text", later)], "k string, v string, modified_at timestamp")
+    tables.merge_mart(spark, path, back, mart, staging, "month")
+    assert {r["k"]: r["v"] for r in tables.read_mart(spark, path).collect()} == {"a": "1", "b": "x", "c": "8", "d": "text"}
+    assert len(live.opened(spark, path).by_layout()) == 1  # both periods are text again
 
 
 def test_purge_reports_what_it_drops(spark):
