@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm import shared as s
-from souk.llm.quality import KNOWN, fair_offset, labelled_sample
+from souk.llm.quality import fair_offset, labelled_sample
 
 BUCKETS = 1 << 18
+KNOWN = 200_000      # words a task keeps at a time
+PART = 1 << 20       # characters scored together
 FACTORS = 8
 STEM = 4            # letters of the second term of longer words
 SAMPLE = 4000       # labelled rows per class that training reads
@@ -148,6 +150,7 @@ def score_texts(texts: list[str], terms: Terms, columns: np.ndarray, offset: flo
     if flat:
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
         pairs = terms.look_up(flat)
+        words = flat = None  # the sums need the memory
         there = pairs[:, 0] >= 0
         keys = (doc[there, None] * BUCKETS + pairs[there]).ravel()
         keys.sort()
@@ -197,5 +200,5 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text: str =
             state.append(Terms())
         texts = s.strings(batch.column(text))
         return s.add_columns(batch, __score=s.in_parts(
-            texts, lambda part: score_texts(part, state[0], wide.value, offset)))
+            texts, lambda part: score_texts(part, state[0], wide.value, offset), PART))
     return s.map_batches(docs, each, s.extended(docs, __score="double"))
