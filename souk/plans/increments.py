@@ -23,6 +23,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk import model
 from souk.functions import scalar as S
 from souk.model import MARTS, Mart
 from souk.operators import incremental
@@ -235,9 +236,17 @@ def build(warehouse: Warehouse) -> None:
     ledger = Ledger(warehouse)
     there = {entity: warehouse.raw.loads(entity) for entity in warehouse.raw}  # loads that come meanwhile are left for later
     warehouse.build_from({entity: warehouse.raw.only(entity, ids) for entity, ids in there.items()})
+    snapshots(warehouse, there)
     ledger.add(there)
 
 
+def snapshots(warehouse: Warehouse, loads: Mapping[str, list[str]]) -> None:
+    """Histories take up the loads one after the other, as they would have day by day."""
+    for entity in model.SNAPSHOTS:
+        for load in loads.get(entity, ()):
+            warehouse.snapshot(entity, warehouse.raw.only(entity, [load]))
+
+
 def refresh(warehouse: Warehouse) -> dict[str, list[str]]:
     """Merge the loads that are new; returns them. Without news nothing is written."""
     ledger = Ledger(warehouse)
@@ -252,6 +261,7 @@ def refresh(warehouse: Warehouse) -> dict[str, list[str]]:
             run.find_changes()
             run.merge_marts()
             run.merge_states()
+            snapshots(warehouse, new)
         finally:
             tables.delete(warehouse.spark, folder)
         ledger.add(new)

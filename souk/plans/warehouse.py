@@ -234,26 +234,30 @@ class Warehouse(Mapping[str, DataFrame]):
         self._frames[name] = frame
         return frame
 
-    def snapshot(self, entity: str) -> DataFrame:
-        """Bring the stored SCD-2 history of a raw table up to date with its present rows.
+    def snapshot(self, entity: str, load: DataFrame | None = None) -> DataFrame:
+        """Bring the stored SCD-2 history of a raw table up to date with its rows, or with those of one load.
 
         The history is partitioned by the period a version was closed in, open versions apart.
         A run merges new and just closed versions on the version id: it rewrites the open
-        versions and the periods that gain closed ones, and repeating it changes nothing.
+        versions and the periods that gain closed ones, and repeating it changes nothing. Every stamp of
+        a key is a version of its own; rows older than the open version of their key are not taken up.
         """
         name = f"{entity}_snapshot"
-        path, key, load = self.path(name), model.SNAPSHOTS[entity], self.raw[entity]
+        path, key, load = self.path(name), model.SNAPSHOTS[entity], self.raw[entity] if load is None else load
         mart = Mart(name, history.VERSION, history.TO, (key,), None)
-        full = history.first_versions(load, key, model.LOAD_STAMP)
         grain = self.grain or "year"
-        if not tables.is_complete(self.spark, path):
-            tables.write_mart(full, path, mart, grain)
-        else:
-            stored = tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD)
-            fresh, ended = history.changed_versions(stored, load, key, model.LOAD_STAMP)
-            tables.merge_mart(self.spark, path, fresh.unionByName(ended), mart,
-                              f"{self.root}/_staging/{name}-{uuid4().hex}", grain)
-        return self._use(name, tables.read_mart(self.spark, path, full.schema).drop(tables.PERIOD))
+        folder = f"{self.root}/_runs/{name}-{uuid4().hex}"
+        try:
+            if not tables.is_complete(self.spark, path):
+                tables.write_mart(history.chained(load, key, model.LOAD_STAMP, f"{folder}/ranges"), path, mart, grain)
+            else:
+                stored = tables.read_mart(self.spark, path).drop(tables.PERIOD)
+                fresh, ended = history.changed_versions(stored, load, key, model.LOAD_STAMP, f"{folder}/ranges")
+                rows = fresh.unionByName(incremental.sync_columns(ended, fresh))
+                tables.merge_mart(self.spark, path, rows, mart, f"{folder}/merge", grain)
+        finally:
+            tables.delete(self.spark, folder)
+        return self._use(name, tables.read_mart(self.spark, path).drop(tables.PERIOD))
 
     def refresh_all(self) -> None:
         """A daily run: histories of the raw tables, then every mart. Raw loads merged before are not read."""

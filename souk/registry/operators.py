@@ -981,6 +981,35 @@ for _entity, _key, _column, _split in (
                      history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
 
 
+VERSIONS = """select seller_id, seller_city, n, strftime(at, '%Y-%m-%d %H:%M:%S') as dbt_valid_from,
+       strftime(lead(at) over (partition by seller_id order by at), '%Y-%m-%d %H:%M:%S') as dbt_valid_to
+       from (select l_suppkey::varchar as seller_id, max(l_returnflag) as seller_city, count(*)::bigint as n, l_shipdate::timestamp as at
+             from lineitem group by l_suppkey, l_shipdate)"""
+
+
+def _seller_versions(spark, d):
+    """A seller's load with a version for every day it shipped on."""
+    return tb.given_tables(spark, d)["lineitem"].groupBy(
+        F.col("l_suppkey").cast("string").alias("seller_id"), F.col("l_shipdate").cast("timestamp").alias(model.LOAD_STAMP)).agg(
+        F.max("l_returnflag").alias("seller_city"), F.count(F.lit(1)).alias("n"))
+
+
+@query("w5_many_versions_in_a_load", VERSIONS)
+def _(spark, d):
+    return history.chained(_seller_versions(spark, d), "seller_id", model.LOAD_STAMP).select(
+        "seller_id", "seller_city", "n", history.FROM, history.TO)
+
+
+@query("w5_stored_many_versions", VERSIONS)
+def _(spark, d):
+    """The same versions kept on disk by two loads, those before the cut and those after it."""
+    load, root = _seller_versions(spark, d), scratch(spark, d, f"versions_{uuid4().hex}")
+    w = Warehouse(spark, {}, tb.region_seed(spark, d), root, "year")
+    for part in (_early(load), _late(load)):
+        stored = w.snapshot("sellers", part)
+    return stored.select("seller_id", "seller_city", "n", history.FROM, history.TO)
+
+
 def _early(df, stamp=model.LOAD_STAMP):
     return df.filter(F.col(stamp) < F.lit(CUT).cast("timestamp"))
 

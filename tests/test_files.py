@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pyarrow.parquet as pq
@@ -59,6 +60,51 @@ def test_columns_are_taken_by_name(spark, tmp_path):
         text.read_entity(spark, str(tmp_path), sellers).collect()
 
 
+def _csv_line(fields):
+    quoted = ['"' + f.replace('"', '""') + '"' if any(c in f for c in '",\n') else f for f in fields]
+    return ",".join(quoted)
+
+
+@pytest.mark.parametrize("split", [64, 257, 1 << 20])
+def test_quoted_line_ends_across_byte_ranges(spark, tmp_path, split):
+    """One file in many ranges: records and quoted fields lie across the cuts, some longer than several ranges."""
+    rng = random.Random(split)
+    words = ["a", "line\nend", 'said ""', ",", "\n\n", '"', "é", "x" * 30, "long\n" * 60]
+    data = [[f"s{i}", "".join(rng.choice(words[:-1] if i % 25 else words) for _ in range(rng.randint(0, 4))), "SP", str(i)]
+            for i in range(150)]
+    lines = [_csv_line(["seller_id", "seller_city", "seller_state", "seller_zip_code_prefix", *(f"more{i}" for i in range(40))])]
+    lines += [_csv_line([*r, *["y"] * 40]) for r in data]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "small.csv").write_text("seller_state,seller_city,seller_id,seller_zip_code_prefix\nRJ,plain,t1,1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        sellers = model.ENTITIES["sellers"]
+        ranges = text._lines(spark, str(tmp_path)).select("file", "start").distinct().count()
+        assert ranges > (20 if split < 1000 else 1)
+        got = {r["seller_id"]: (r["seller_city"], r["seller_state"], r["seller_zip_code_prefix"])
+               for r in text.read_entity(spark, str(tmp_path), sellers).collect()}
+        counted = {r["file"].rpartition("/")[2]: (r["rows"], r["ragged"]) for r in text.ragged_rows(spark, str(tmp_path), sellers).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {r[0]: (r[1].strip() or None, r[2], r[3]) for r in data} | {"t1": ("plain", "RJ", "1")}
+    assert counted == {"big.csv": (150, 0), "small.csv": (1, 0)}
+
+
+def test_a_quoted_field_without_end_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('seller_id,seller_city,seller_state,seller_zip_code_prefix\ns1,"town,SP,1\ns2,x,SP,1\n')
+    with pytest.raises(Exception, match="a quoted field does not end in"):
+        text.read_entity(spark, str(tmp_path), model.ENTITIES["sellers"]).collect()
+
+
+def test_very_long_fields(spark, tmp_path):
+    long = 'text with "quotes", commas\n' * 20_000
+    (tmp_path / "a.csv").write_text("product_category_name,product_category_name_english\n" + _csv_line([long, "x"]) + "\n" + "y" * 300_000 + ",z\n")
+    got = rows(text.read_entity(spark, str(tmp_path), model.ENTITIES["product_category_name_translation"]))
+    assert [r["product_category_name"] for r in got] == [long.strip(), "y" * 300_000]
+
+
 def test_cleaned_copy_reads_back(spark, tmp_path):
     entity = model.ENTITIES["sellers"]
     source = spark.createDataFrame([("s1", "01", 'x "y", z', "SP"), ("s2", None, "", "RJ")], entity.schema)

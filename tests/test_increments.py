@@ -118,6 +118,8 @@ def test_changes_of_every_kind(spark, raw, tmp_path, copied):
     assert files(tmp_path / "w") == files_then
     reopened = Warehouse(spark, RawLoads(spark, loads.root), read_seed(spark), w.root, "month")
     assert content(reopened["fact_sales"]) == content(w["fact_sales"])
+    history = tables.read_mart(spark, w.path("customers_snapshot"))
+    assert history.filter("customer_id = 'c1'").count() == 2 and history.filter("customer_id = 'c2'").count() == 1
     assert content(reopened["stg_orders"]) == content(Warehouse(spark, dict(loads), read_seed(spark))["stg_orders"])
 
 

@@ -49,6 +49,37 @@ def test_newer_than_an_empty_target_takes_everything(spark):
     assert [r["k"] for r in rows(incremental.newer_than(df, df.filter("k = 1"), "at"))] == [2]
 
 
+def test_every_stamp_of_a_load_is_a_version(spark, tmp_path):
+    schema = "k string, v string, at timestamp"
+    day = lambda n: DAY + timedelta(days=n)
+    first = spark.createDataFrame([("a", "1", day(0)), ("a", "2", day(5)), ("a", "2", day(5)), ("b", "1", day(1)), (None, "x", day(2)),
+                                   (None, "y", day(3))], schema)
+    second = spark.createDataFrame([("a", "late", day(2)), ("a", "3", day(6)), ("a", "4", day(8)), ("a", "5", day(9)),
+                                    ("c", "1", day(7)), ("c", "2", day(8))], schema)
+    got = history.apply_load(history.apply_load(None, first, "k", "at"), second, "k", "at")
+    spans = [(r["k"], r["v"], (r[history.FROM] - DAY).days, r[history.TO] and (r[history.TO] - DAY).days) for r in got.collect()]
+    assert sorted(spans, key=str) == sorted([
+        ("a", "1", 0, 5), ("a", "2", 5, 6), ("a", "3", 6, 8), ("a", "4", 8, 9), ("a", "5", 9, None), ("b", "1", 1, None),
+        (None, "x", 2, 3), (None, "y", 3, None), ("c", "1", 7, 8), ("c", "2", 8, None)], key=str)
+    w = Warehouse(spark, {}, read_seed(spark), str(tmp_path / "w"), "month")
+    named = ["customer_id", "customer_city", model.LOAD_STAMP]
+    for load in (first, second, second):
+        stored = w.snapshot("customers", load.filter("k is not null").toDF(*named))
+    assert stored.count() == 8 and stored.filter(f"{history.TO} is null").count() == 3
+
+
+def test_a_hot_key_lies_in_many_ranges(spark, tmp_path):
+    """Nearly all versions belong to one key: each range links its own, and no task has them all."""
+    load = spark.range(0, 5000, 1, 4).selectExpr(
+        "if(id % 50 = 0, concat('k', id % 7), 'hot') as k", "cast(id as string) as v", "timestamp_seconds(id * 60) as at")
+    got = history.chained(load, "k", "at", str(tmp_path / "ranges"), ranges=6)
+    parts = spark.read.parquet(str(tmp_path / "ranges")).groupBy("_range").count().collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < 2000
+    load.createOrReplaceTempView("load_of_versions")
+    want = spark.sql("select k, v, at, lead(at) over (partition by k order by at) as until from load_of_versions")
+    assert got.select("k", "v", "at", history.TO).exceptAll(want).count() == 0 and got.count() == 5000
+
+
 loads = st.lists(st.dictionaries(st.integers(0, 5), st.integers(0, 3), max_size=6), min_size=1, max_size=4)
 
 
