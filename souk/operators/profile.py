@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +13,7 @@ from souk.session import work_folder
 
 SAMPLE_ROWS = range(5, 101)
 MAX_CATEGORIES = 20
+SPARE = 4  # a sketch may be wrong by less than this factor
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -94,17 +94,36 @@ def quantiles(df: DataFrame, columns: list[str], shares: Sequence[float]) -> Dat
     return hit.groupBy("column_name", "q").agg(F.sum(F.col("value") * F.col("weight")).alias("quantile"))
 
 
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, n) of all columns in one scan; map tasks fold equal values before the shuffle."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns))
+    return (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def narrow_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that a sketch does not rule out: estimated at no more than SPARE times the categories looked for.
+
+    One scan that sends a sketch per column and task; no value is shuffled. At so few values the sketch is exact
+    but for hash collisions, far from a factor of SPARE.
+    """
+    if not columns:
+        return []
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    found = df.agg(*sketches).first()
+    return [c for i, c in enumerate(columns) if (found[f"n{i}"] or 0) <= SPARE * MAX_CATEGORIES]
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
     """Counts per value of the text columns that have at most 20 distinct values.
 
-    `first` takes only so many columns, as the sample page does. All are counted in one pass. The gate is a second small aggregate, not a window, so
-    a column of unique ids is never gathered into one group.
+    `first` takes only so many columns, as the sample page does. A sketch drops columns of far more values, such as
+    unique ids, before any value is shuffled; the others are counted exactly, all in one scan.
     """
-    columns = columns or text_columns(df)[:first]
-    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
-                      for c in columns))
-    counts = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    columns = narrow_columns(df, columns or text_columns(df)[:first])
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    counts = _values(df, columns)
     narrow = (counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("_values"))
               .filter(F.col("_values") <= MAX_CATEGORIES))
     return (counts.join(F.broadcast(narrow.drop("_values")), "column_name", "left_semi")
@@ -112,9 +131,9 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, first: int | N
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
-    """Number of distinct values per text column: all, or the `first` so many."""
+    """Number of distinct values per text column, all or the `first` so many, in one scan."""
     columns = columns or text_columns(df)[:first]
-    parts = [df.select(F.lit(c).alias("column_name"), F.col(c).alias("value"))
-             .agg(F.first("column_name").alias("column_name"),
-                  F.countDistinct("value").alias("distinct_values")) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    counted = _values(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
+    return names.join(F.broadcast(counted), "column_name", "left").select(  # a row per column
+        "column_name", F.coalesce("distinct_values", F.lit(0).cast("bigint")).alias("distinct_values"))

@@ -1,7 +1,7 @@
 """Declarative data-quality checks.
 
-Checks that look at one row at a time run together in a single pass over their table; uniqueness
-and references need a shuffle of one key each. Every result has the same columns.
+Checks that look at one row at a time run together in a single pass over their table; all checks of
+uniqueness and references share one shuffle. Every result has the same columns.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.operators.joins import with_parent_flag
-
 
 @dataclass(frozen=True)
 class Check:
@@ -62,33 +60,63 @@ def _result(check: Check, failures: Column, total: Column) -> Column:
     )
 
 
+def failing_rows(check: Check) -> Column:
+    return F.count(F.when(_failing(check), 1))
+
+
 def row_checks(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
     checks = list(checks)
     counted = df.agg(
         F.count(F.lit(1)).alias("total"),
-        *(F.count(F.when(_failing(c), 1)).alias(f"f{i}") for i, c in enumerate(checks)))
+        *(failing_rows(c).alias(f"f{i}") for i, c in enumerate(checks)))
     results = [_result(c, F.col(f"f{i}"), F.col("total")) for i, c in enumerate(checks)]
     return counted.select(F.inline(F.array(*results)))
 
 
-def unique_check(df: DataFrame, check: Check) -> DataFrame:
-    """Failures are the non-null values that occur more than once."""
-    per_value = df.groupBy(check.column).agg(F.count(F.lit(1)).alias("n"))
-    repeated = F.col(check.column).isNotNull() & (F.col("n") > 1)
-    counted = per_value.agg(F.count(F.when(repeated, 1)).alias("failures"),
-                            F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return counted.select(F.inline(F.array(_result(check, F.col("failures"), F.col("total")))))
+KEY_TESTS = ("unique", "relationship")
 
 
-def relationship_check(df: DataFrame, parent: DataFrame, check: Check) -> DataFrame:
-    """Failures are the child rows whose key the parent lacks."""
-    per_key = with_parent_flag(df, check.column, parent, check.parent_column)
-    missing = F.col("key").isNotNull() & F.col("known").isNull()
+def key_rows(tables: Mapping[str, DataFrame], checks: list[Check]) -> DataFrame:
+    """(check, key, child, parent): rows that carry a key, folded; `check` is the place in the list.
+
+    Each table is read once, whatever the number of its checks. Map tasks fold the rows of a key before the one
+    shuffle, so a key with very many rows is one row per task.
+    """
+    roles: dict[str, list[tuple[int, str, int, int]]] = {}
+    for i, c in enumerate(checks):
+        roles.setdefault(c.table, []).append((i, c.column, 1, 0))
+        if c.test == "relationship":
+            roles.setdefault(c.parent, []).append((i, c.parent_column, 0, 1))
+    parts = []
+    for table, own in roles.items():
+        rows = [F.struct(F.lit(i).alias("check"), F.col(column).cast("string").alias("key"),
+                         F.lit(child).alias("child"), F.lit(parent).alias("parent")) for i, column, child, parent in own]
+        parts.append(tables[table].select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts).groupBy("check", "key").agg(
+        F.sum("child").alias("child"), F.sum("parent").alias("parent"))
+
+
+def key_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check], places: list[int] | None = None) -> DataFrame:
+    """Uniqueness and references of all tables together: a shuffle by check and key, then one of a row per check.
+
+    Failures of uniqueness are the non-null values that occur more than once, those of a reference the child rows
+    whose key the parent lacks. The total counts all rows, those without a key included. With `places` a
+    column of them comes along.
+    """
+    checks = list(checks)
+    named = F.col("key").isNotNull()
+    references = [i for i, c in enumerate(checks) if c.test == "relationship"]
+    failing = (F.when(F.col("check").isin(references), F.when(named & (F.col("parent") == 0), F.col("child")))
+               .when(named & (F.col("child") > 1), 1))
+    counted = key_rows(tables, checks).groupBy("check").agg(F.sum(failing).alias("failures"), F.sum("child").alias("total"))
+    meta = counted.sparkSession.createDataFrame(
+        [(i, c.table, c.column, c.test, (places or range(len(checks)))[i]) for i, c in enumerate(checks)],
+        "check int, table_name string, column_name string, test string, place int")
     none = F.lit(0).cast("bigint")
-    counted = per_key.agg(
-        F.coalesce(F.sum(F.when(missing, F.col("child_rows"))), none).alias("failures"),
-        F.coalesce(F.sum("child_rows"), none).alias("total"))
-    return counted.select(F.inline(F.array(_result(check, F.col("failures"), F.col("total")))))
+    met = meta.join(F.broadcast(counted), "check", "left")  # a row per check
+    failures = F.coalesce("failures", none)
+    return met.select("table_name", "column_name", "test", *(["place"] if places else []), failures.alias("failures"),
+                      F.coalesce("total", none).alias("total"), (failures == 0).alias("passed"))
 
 
 def run_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
@@ -96,11 +124,10 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Data
     checks = list(checks)
     parts = []
     for table in dict.fromkeys(c.table for c in checks):
-        mine = [c for c in checks if c.table == table]
-        by_row = [c for c in mine if c.test in ROW_TESTS]
+        by_row = [c for c in checks if c.table == table and c.test in ROW_TESTS]
         if by_row:
             parts.append(row_checks(tables[table], by_row))
-        parts += [unique_check(tables[table], c) for c in mine if c.test == "unique"]
-        parts += [relationship_check(tables[table], tables[c.parent], c)
-                  for c in mine if c.test == "relationship"]
+    by_key = [c for c in checks if c.test in KEY_TESTS]
+    if by_key:
+        parts.append(key_checks(tables, by_key))
     return reduce(DataFrame.unionByName, parts)

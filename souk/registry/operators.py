@@ -14,7 +14,7 @@ from souk.functions import measures as M
 from souk.functions import scalar as S
 from souk.operators import history, incremental, joins, profile, quality, ranking
 from souk.operators.dedup import keep_latest
-from souk.plans import checks, reports, rollups
+from souk.plans import checks, quality_history, reports, rollups
 from souk.plans import testbed as tb
 from souk.plans.testbed import TEST_REGION, TEST_REGIONS, TEST_YEAR
 from souk.plans.warehouse import Warehouse
@@ -320,6 +320,19 @@ def _(spark, d):
         F.min(S.date_key("order_purchase_timestamp")).alias("first_day"))
 
 
+@query("r22_marts_present", " union all ".join(
+    f"""select '{name}' as table_name, 'true' as present, (count(*) > 0)::varchar as has_rows,
+        {len(model.MARTS)}::bigint as mart_tables from {name}""" for name in sorted(model.MARTS)))
+def _(spark, d):
+    """Is each mart in the catalogue, does it hold rows, and how many tables there are named like a mart."""
+    stored = marts(spark, d).marts()
+    for name, df in stored.items():
+        df.createOrReplaceTempView(name)
+    there = spark.createDataFrame([(n, tables.table_exists(spark, n)) for n in stored], "table_name string, present boolean")
+    return (there.join(tables.validate_tables(stored), "table_name")
+            .crossJoin(tables.count_mart_tables(spark, list(stored)).withColumnRenamed("table_count", "mart_tables")))  # one row
+
+
 @query("s7_table_info")
 def _(spark, d):
     return tables.table_info(marts(spark, d).marts())
@@ -981,9 +994,9 @@ for _entity, _key, _column, _split in (
                      history=_scd2_sql(f"raw_{_entity}", _key, _column, *_split)))
 
 
-VERSIONS = """select seller_id, seller_city, n, strftime(at, '%Y-%m-%d %H:%M:%S') as dbt_valid_from,
-       strftime(lead(at) over (partition by seller_id order by at), '%Y-%m-%d %H:%M:%S') as dbt_valid_to
-       from (select l_suppkey::varchar as seller_id, max(l_returnflag) as seller_city, count(*)::bigint as n, l_shipdate::timestamp as at
+VERSIONS = """select seller_id, seller_city, n, strftime(since, '%Y-%m-%d %H:%M:%S') as dbt_valid_from,
+       strftime(lead(since) over (partition by seller_id order by since), '%Y-%m-%d %H:%M:%S') as dbt_valid_to
+       from (select l_suppkey::varchar as seller_id, max(l_returnflag) as seller_city, count(*)::bigint as n, l_shipdate::timestamp as since
              from lineitem group by l_suppkey, l_shipdate)"""
 
 
@@ -1228,3 +1241,18 @@ def _stored_quality(spark, d):
 
 register("d7_stored_results", _stored_quality,
          Q.query("\nunion all ".join(_check_sql(c) for c in SUITE)).replace(" as (", " as materialized ("))
+
+
+ORDER_SUITE = [c for c in SUITE if c.table == "dim_orders" and c.test != "relationship"]
+
+
+@query("d7_history", "\nunion all ".join(_check_sql(c).replace("select 'dim_orders'", "select 'second' as run_id, 'dim_orders'")
+                                         for c in ORDER_SUITE))
+def _(spark, d):
+    """Two runs around a refresh; the second recounts the periods that the refresh wrote and takes over the others."""
+    raw, root = tb.raw_tables(spark, d)["orders"], scratch(spark, d, f"checked_{uuid4().hex}")
+    for run, rows, day in (("first", _early(raw), 1), ("second", raw, 2)):
+        w = Warehouse(spark, {"orders": rows}, tb.region_seed(spark, d), root, "year")
+        w.refresh("dim_orders")
+        kept = quality_history.record(w, ORDER_SUITE, f"{root}/_quality", run, datetime(2020, 1, day))
+    return kept.drop("run_at")
