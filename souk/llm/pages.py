@@ -8,7 +8,8 @@ or next to no text there, is extracted from its own best container. From these e
 widened to the containers around them, up to body: titles, leads and further sections of the article.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and reader
-comments are left out by tag, role and the words of class and id, on both ways.
+comments are left out by tag, role and the words of class and id, on both ways. Words alone never leave out
+an element that holds the page's article.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "he
          "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "share", "sharing",
          "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus",
          "respond", "replies", "pagination", "pager", "paging", "toolbar", "skip", "hidden"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+ABSENT = {"has", "with", "no", "without"}                     # what follows is not what the element is
+OF_ARTICLE = {"post", "entry", "article", "story"}            # whose header belongs to the text
+BLANKS = " \t\r\n\f\v"
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"},
@@ -62,14 +67,24 @@ _NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][
 _KEYS = {"class", "id", "role", "hidden", "aria-hidden"}
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
-_HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = r"^(?:[a-zA-Z][A-Za-z0-9_+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_HOST = re.compile(HOST)
 
 
 def host_of(url: str | None) -> str:
-    found = _HOST.match((url or "").strip())
+    found = _HOST.match((url or "").strip(BLANKS))
     return found[1].lower() if found else ""
 
 
+def _naming(words: list[str]) -> list[str]:
+    """Words of a class or id that say what an element is."""
+    for i, word in enumerate(words):
+        if word in ABSENT:
+            words = words[:i]
+            break
+    return [] if words[-1:] == ["header"] and words[0] in OF_ARTICLE else words
+
+
 class Page:
     """Elements in page order, and pieces of text with their element and block."""
 
@@ -78,6 +93,7 @@ class Page:
         self.tag: list[str] = [""]
         self.label: list[str] = [""]
         self.skip: list[bool] = [False]   # the element, or one around it, is left out
+        self.named: list[set[str]] = [set()]  # words of class and id that name what is left out
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
         self._read(text)
@@ -155,21 +171,20 @@ class Page:
                 elif key in ("class", "id"):
                     for part in sorted(value.split()):
                         label += (".", "#")[key == "id"] + _DIGITS.sub("0", part)
-                        found = _WORD.findall(part)
-                        words += found if not found or found[0] not in ("has", "with", "no", "without") else []
+                        words += _naming(_WORD.findall(part))
         within = self.tag[parent]
         if name in LEFT_OUT:
             gone = True
         elif name == "header":  # that of the page; an article's own header keeps its headings
             gone = not any(self.tag[n] in ("article", "main") for n in self._up(parent))
-        elif name not in ("html", "body", "article", "main") and name not in HEADING:
-            gone |= not WORDS.isdisjoint(words)
         elif within == "" and name == "body":
             gone = False
+        judged = name not in ("html", "body", "article", "main") and name not in HEADING
         self.parent.append(parent)
         self.tag.append(name)
         self.label.append(name if name in ("html", "body") else label)  # their classes vary by page
         self.skip.append(gone)
+        self.named.append(WORDS.intersection(words) if judged else set())
 
     def _up(self, node: int):
         while node > 0:
@@ -178,6 +193,7 @@ class Page:
 
     def settle(self) -> None:
         """What is left out passes down; forms are left out unless they wrap the page's content."""
+        self._judge_names()
         holds = Counter()
         for node in range(len(self.tag) - 1, 0, -1):
             own = holds[node] + (self.tag[node] in ("article", "main", "h1")) * 3 + (self.tag[node] == "p")
@@ -191,6 +207,32 @@ class Page:
             in_header[node] = (in_header[above] or self.tag[node] == "header") and self.tag[node] not in HEADING
         self.header = in_header
 
+    def _judge_names(self) -> None:
+        """Leave out what class and id name, but nothing that holds the page's article.
+
+        An element holds it if article, main or a first heading and at least half of the text that is neither in
+        links nor in comments lie under it. Comments are left out whatever they hold.
+        """
+        if not any(self.named):
+            return
+        count = len(self.tag)
+        apart, linked = list(self.skip), [False] * count
+        for node in range(1, count):
+            above = self.parent[node]
+            apart[node] |= apart[above] or not COMMENTS.isdisjoint(self.named[node])
+            linked[node] = linked[above] or self.tag[node] == "a"
+        size, titled = [0] * count, [False] * count
+        for node, _, text in self.pieces:
+            if not apart[node] and not linked[node]:
+                size[node] += len(text.strip())
+        for node in range(count - 1, 0, -1):
+            titled[node] |= self.tag[node] in ("article", "main", "h1") and not apart[node]
+            size[self.parent[node]] += size[node]
+            titled[self.parent[node]] |= titled[node]
+        for node in range(1, count):
+            if self.named[node] and not (titled[node] and not apart[node] and 2 * size[node] >= size[0]):
+                self.skip[node] = True
+
     def paths(self) -> list[int]:
         """Of each element, a hash of the generalised labels of its block-level chain."""
         out = [0] * len(self.tag)
@@ -417,8 +459,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     Null and empty html and pages without text give an empty text; null urls share one host.
     """
     winners = host_paths(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
-    address = F.coalesce(F.trim(F.col(f"`{url}`")), F.lit(""))
-    host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    address = F.coalesce(F.btrim(F.col(f"`{url}`"), F.lit(BLANKS)), F.lit(""))
+    host = F.lower(F.regexp_extract(address, HOST, 1))
     named = pages.withColumn("__host", host).join(winners, "__host", "left").drop("__host")
     columns = [c for c in pages.columns if c != html]
 

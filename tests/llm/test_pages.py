@@ -54,6 +54,44 @@ def test_small_pages(html, want):
     assert pages.main_text(pages.read(html), None) == want
 
 
+STORY = "<h1>Title</h1><p>The first paragraph of a story.</p><p>And the second one.</p>"
+TOLD = "Title\n\nThe first paragraph of a story.\n\nAnd the second one."
+SIDE = "<p>About this site, and how to write to us.</p>"
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<div class="right-sidebar"><article>{STORY}</article></div>', TOLD),
+    (f'<div class="sidebar-right"><main>{STORY}</main><div class="sidebar">{SIDE}</div></div>', TOLD),
+    (f'<div class="page-with-menu">{STORY}</div>', TOLD),
+    (f'<div id="ads-wrapper"><div class="widget">{SIDE}</div><div class="post">{STORY}</div></div>', TOLD),
+    ('<article><div class="post-header"><h1>Title</h1><p>Lead.</p></div><div class="post-body"><p>Body text, longer.</p>'
+     "</div></article>", "Title\n\nLead.\n\nBody text, longer."),
+    ('<div class="post"><div class="entry-header"><h1>Title</h1></div><p>Body text, longer.</p></div>', "Title\n\nBody text, longer."),
+    (f'<article>{STORY}</article><div class="related"><article><h1>Other</h1><p>Teaser.</p></article></div>', TOLD),
+    (f'<article>{STORY}</article><div id="comments"><article class="c"><p>{"I disagree. " * 40}</p></article></div>', TOLD),
+    (f'<div class="sidebar-right">{SIDE}</div><div><p>{STORY}</p></div>', TOLD),
+    ('<div class="cookie-notice"><p>We use cookies.</p></div>', ""),
+])
+def test_class_words_do_not_drop_the_article(html, want):
+    assert pages.main_text(pages.read(f"<body>{html}</body>"), None) == want
+
+
+def test_urls_with_white_space_vote_and_read_alike(spark):
+    odd = ("<body><div class='wrap'><div class='links'><p>%s</p></div><div class='post-9 entry'><p>Short news.</p>"
+           "</div></div></body>" % ("a long list of other things to read here " * 12))
+    rows = [(i, f"\thttp://a.org/{i}", site(i, "word " * 60), 1) for i in range(6)]
+    got = run(spark, [*rows, (9, "\n http://a.org/9", odd, 1), (10, "http://a.org/9", odd, 1)])
+    assert got[9]["__text"] == got[10]["__text"] == "Short news."
+
+
+def test_repeated_urls_and_tied_paths(spark):
+    """Two layouts with as many votes: the choice is the same however the rows come."""
+    rows = [(i, "http://a.org/", f"<body><div class={'xy'[i % 2]}><p>{LONG}</p></div></body>", 1) for i in range(8)]
+    first, second = run(spark, rows), run(spark, rows[::-1])
+    assert {r["__text"] for r in first.values()} == {LONG.strip()}
+    assert {k: r["__text"] for k, r in first.items()} == {k: r["__text"] for k, r in second.items()}
+
+
 def test_long_deep_and_broken_pages():
     deep = "<div>" * 3000 + "text" + "</div>" * 10
     assert pages.main_text(pages.read(deep), None) == "text"
