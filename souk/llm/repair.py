@@ -14,6 +14,7 @@ the shared folder: Spark commits them whole, also when a task is run twice.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,78 +35,117 @@ ROUNDS = 6           # rounds of replacement at most
 ROUND_RULES = 2500   # new nonterminals of a round at most: the most frequent pairs
 LEAST = 6            # a pair must occur so often
 END_ID = 2
-KNOWN = 600_000      # pieces whose ids a worker keeps at a time
-INNER = 1_200_000    # and parts of pieces, from which pieces are soon put together again
+KNOWN = 1_000_000    # pieces whose ids a worker keeps at a time
+TOGETHER = 512       # texts encoded together
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIIIQQI")  # magic, documents, rules, first nonterminal, width, symbols, ids, vocabulary
 # Byte-level vocabularies show each byte as a character: itself where it prints, else one from 256 on.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _BREAK = re.compile(r"(?<=\S)(?=[ \n])")
-_INNER = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-^`{-~])|(?<=\n)(?=\S)")
 _ODD = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 # --- encoding -------------------------------------------------------------------------------------
 
+def _cuts_by_bytes(file: dict) -> bool:
+    """Is it a byte-level tokenizer that reads texts as they are: only then may texts be cut."""
+    cutter = file.get("pre_tokenizer") or {}
+    return (cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+            and not file.get("normalizer") and file["model"].get("type") == "BPE" and not file["model"].get("dropout")
+            and not file["model"].get("ignore_merges"))
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; pieces met before are not encoded again.
 
     A byte-level tokenizer never joins a character that is not white space with white space after
-    it, so a text may be cut there without a change to its ids; nor a letter with ASCII punctuation
-    after it other than the apostrophe, nor a line end with a character after it that is no space.
+    it, so a text may be cut there without a change to its ids. With any other kind of tokenizer texts are
+    not cut. The special tokens of the file are found as the library finds them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # Texts with one of these are read by the library alone, which finds them first.
+        self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = _cuts_by_bytes(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
+    def plain(text: str) -> bool:
+        """Cut at every space and line end, with no look at what stands around."""
+        return not (text[:1] in (" ", "\n", "") or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+                    or _ODD.search(text))
+
+    @classmethod
+    def pieces(cls, text: str) -> list[str]:
         if not text:
             return []
-        if (text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                or _ODD.search(text)):
+        if not cls.plain(text):
             return _BREAK.split(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not self.cuts or any(m in t for m in self.marks)]
+        if whole:
+            made = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            for i, own in zip(whole, made):
+                out[i] = np.array(own.ids, "<u4")
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._by_pieces([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """Pieces are told apart by Arrow, so that each distinct one of these texts is looked up once."""
+        if not texts:
+            return []
+        plain = [self.plain(t) for t in texts]
+        easy = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
+        easy = pc.replace_substring(pc.replace_substring(easy, " ", "\x00 "), "\n", "\x00\n")
+        easy = pc.split_pattern(easy, "\x00")
+        hard = pa.array([self.pieces(t) for t, p in zip(texts, plain) if not p], easy.type)
+        cut = pa.chunked_array([easy, hard]).combine_chunks()
+        coded = cut.flatten().dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        values = np.frombuffer(b"".join(found), "<u4")
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        count = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        flat = values[np.repeat(begins[number] - ends[:-1], count) + np.arange(ends[-1])]
+        offsets = ends[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))])]
+        made = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        first, second = iter(made[:len(easy)]), iter(made[len(easy):])
+        return [next(first) if p else next(second) for p in plain]
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN:
             self.known.clear()
-        if len(self.inner) > INNER:
-            self.inner.clear()
-        cut = [self.pieces(t) for t in texts]
-        look_up = self.known.get
-        found = [list(map(look_up, own)) for own in cut]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        if lacking:
-            self._learn({p for i in lacking for p, ids in zip(cut[i], found[i]) if ids is None})
-            for i in lacking:
-                found[i] = map(look_up, cut[i])
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self._learn({p for p, ids in zip(pieces, found) if ids is None})
+            found = list(map(self.known.__getitem__, pieces))
+        return found
 
     def _learn(self, pieces: set[str]) -> None:
-        parts = {p: [p] if p[1:].isalpha() and p[0] != "\n" else _INNER.split(p) for p in pieces}
-        new = {x for own in parts.values() for x in own}.difference(self.inner)
-        inner, rest, tokenize = self.inner, [], self.tokenizer.model.tokenize
-        for part in new:
-            if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+        known, rest, tokenize = self.known, [], self.tokenizer.model.tokenize
+        for piece in pieces:
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
                 # One word of letters: the pattern does not cut it, so the model takes it whole.
-                shown = part.encode().decode("latin-1").translate(_SHOWN)
-                inner[part] = array("I", [x.id for x in tokenize(shown)]).tobytes()
+                shown = piece.encode().decode("latin-1").translate(_SHOWN)
+                known[piece] = array("I", [x.id for x in tokenize(shown)]).tobytes()
             else:
-                rest.append(part)
+                rest.append(piece)
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
-            for part, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                inner[part] = array("I", made.ids).tobytes()
-        for piece, own in parts.items():
-            self.known[piece] = inner[own[0]] if len(own) == 1 else b"".join([inner[x] for x in own])
+            for piece, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[piece] = array("I", made.ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -283,8 +324,8 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, TOGETHER):
+                piece = batch.slice(at, TOGETHER)
                 for k, own in zip(piece.column("key").to_pylist(), tool.encode(s.strings(piece.column("text")))):
                     keys.append(k)
                     ids.append(np.concatenate([own, end]))
