@@ -42,6 +42,7 @@ HEADER = struct.Struct("<4sIIIIQQI")  # magic, documents, rules, first nontermin
 # Byte-level vocabularies show each byte as a character: itself where it prints, else one from 256 on.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"  # punctuation that never joins letters before it
 _BREAK = re.compile(r"(?<=\S)(?=[ \n])")
 _ODD = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -133,13 +134,20 @@ class Encoder:
             found = list(map(self.known.__getitem__, pieces))
         return found
 
+    def _word(self, word: str) -> bytes:
+        """Ids of what the pattern does not cut; the model takes it whole."""
+        ids = self.known.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+            ids = self.known[word] = array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
     def _learn(self, pieces: set[str]) -> None:
-        known, rest, tokenize = self.known, [], self.tokenizer.model.tokenize
+        known, rest = self.known, []
         for piece in pieces:
-            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-                # One word of letters: the pattern does not cut it, so the model takes it whole.
-                shown = piece.encode().decode("latin-1").translate(_SHOWN)
-                known[piece] = array("I", [x.id for x in tokenize(shown)]).tobytes()
+            bare = piece.rstrip(_ENDS)
+            if bare[1:].isalpha() and (bare[0] == " " or bare[0].isalpha()):  # letters, then no more than punctuation
+                known[piece] = self._word(bare) + (self._word(piece[len(bare):]) if len(bare) < len(piece) else b"")
             else:
                 rest.append(piece)
         for at in range(0, len(rest), 20_000):
