@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,7 @@ class Names(dict):
         if len(self) > KNOWN:
             self.clear()
             self.rows, self.table = [], np.zeros((0, 2), np.uint64)
-        at = np.fromiter((self[w] for own in texts for w in own), np.int64, sum(map(len, texts)))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         if self.rows:
             self.table = np.concatenate([self.table, np.array(self.rows, np.uint64)])
             self.rows = []
@@ -116,12 +116,20 @@ class Windows:
         low, high = run[low] + 1, run[high] - 1
         for level in range(ROUNDS + 1):
             there = low <= high
-            if level == 0 and not there.all():  # no interior at all: the digest
-                keys[alive[~there]] = self.digests(alive[~there])[0]
-            alive, low, high = alive[there], low[there], high[there]
-            keys[alive] = self._least(symbols, low, high, level)
-            if level == ROUNDS or not len(alive):
+            if not there.all():
+                gone = ~there
+                if level == 0:  # no interior at all: the digest
+                    keys[alive[gone]] = self.digests(alive[gone])[0]
+                else:  # the interior of the round before was the last
+                    of, lows, highs = before
+                    keys[alive[gone]] = self._least(of, lows[gone], highs[gone], level - 1)
+                alive, low, high = alive[there], low[there], high[there]
+            if not len(alive):
                 break
+            if level == ROUNDS:
+                keys[alive] = self._least(symbols, low, high, level)
+                break
+            before = symbols, low, high
             left = (mix(symbols + np.uint64((level + 1) * int(_STEP[1]) & _BITS)) >> np.uint64(63)) == 0
             joined = np.zeros(len(symbols), bool)  # right parts of named pairs
             joined[1:] = left[:-1] & ~left[1:] & (doc[1:] == doc[:-1])
@@ -148,14 +156,16 @@ class Windows:
         best = np.full(len(low), np.iinfo(np.uint64).max, np.uint64)
         size = high - low + 1
         top = len(symbols) - 1
+        joined = symbols
         for unit in range(1, UNIT + 1):
-            hashes = symbols
-            for k in range(1, unit):
-                after = np.concatenate([symbols[k:], np.zeros(min(k, len(symbols)), np.uint64)])
-                hashes = pair_name(hashes, after, 100 + k)
-            hashes = mix(hashes + np.uint64(unit + 10 * level))
+            if unit > 1:
+                after = np.concatenate([symbols[unit - 1:], np.zeros(min(unit - 1, len(symbols)), np.uint64)])
+                joined = pair_name(joined, after, 99 + unit)
             mine = np.flatnonzero(size >= UNIT if unit == UNIT else size == unit)
-            for k in range(int(size[mine].max()) - unit + 1 if len(mine) else 0):
+            if not len(mine):
+                continue
+            hashes = mix(joined + np.uint64(unit + 10 * level))
+            for k in range(int(size[mine].max()) - unit + 1):
                 some = mine[size[mine] >= unit + k]
                 best[some] = np.minimum(best[some], hashes[np.minimum(low[some] + k, top)])
         return best

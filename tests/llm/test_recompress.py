@@ -73,5 +73,17 @@ def test_equal_windows_have_equal_keys():
             assert key_of.setdefault(tuple(flat[at:at + 13]), key) == key
 
 
+def test_each_window_is_hashed_in_one_round_only(monkeypatch):
+    """Keys of a round that a later one replaces are not worked out."""
+    rng = random.Random(4)
+    texts = [[rng.choice(VOCABULARY).encode() for _ in range(300)] for _ in range(5)]
+    windows = recompress.Windows(recompress.Names().numbers(texts), np.array([300] * 5))
+    least, hashed = recompress.Windows._least, []
+    monkeypatch.setattr(recompress.Windows, "_least", staticmethod(
+        lambda symbols, low, high, level: hashed.append(len(low)) or least(symbols, low, high, level)))
+    windows.keys()
+    assert 0 < sum(hashed) <= len(windows.first)
+
+
 def test_empty_table(documents):
     assert found(documents()) == []
