@@ -55,25 +55,25 @@ class Names(dict):
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int]] = []
+        self.fresh: list[bytes] = []  # words met since the table was last filled
         self.table = np.zeros((0, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh3_128_intdigest(word)
         self[word] = number = len(self)
-        self.rows.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
+        self.fresh.append(word)
         return number
 
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Two rows: 128 bits of all words of all texts, in order."""
+    def numbers(self, texts: list[list[bytes]], rows: int = 2) -> np.ndarray:
+        """Two rows: 128 bits of all words of all texts, in order. Or the first row alone."""
         if len(self) > KNOWN:
             self.clear()
-            self.rows, self.table = [], np.zeros((0, 2), np.uint64)
+            self.table = np.zeros((0, 2), np.uint64)
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        if self.rows:
-            self.table = np.concatenate([self.table, np.array(self.rows, np.uint64)])
-            self.rows = []
-        return np.ascontiguousarray(self.table[at].T)
+        if self.fresh:
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.fresh)), ">u8")
+            self.table = np.concatenate([self.table, digests.astype(np.uint64).reshape(-1, 2)])
+            self.fresh = []
+        return np.stack([self.table[:, r][at] for r in range(rows)])
 
 
 class Windows:
@@ -82,22 +82,26 @@ class Windows:
     def __init__(self, numbers: np.ndarray, sizes: np.ndarray):
         self.numbers = numbers
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        n = numbers.shape[1]
-        place = np.arange(n) - starts[doc]
-        self.first = np.flatnonzero(place <= sizes[doc] - WINDOW)
+        last = np.repeat(np.cumsum(sizes) - WINDOW, sizes)  # where the last window of the word's text begins
+        self.first = np.flatnonzero(np.arange(numbers.shape[1]) <= last)
         self.doc = doc[self.first]
         self._sequence_doc = doc
 
-    def digests(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the words of some windows."""
-        out = []
-        for row, step in zip(self.numbers, _STEP):
-            total = np.zeros(len(which), np.uint64)
+    def digests(self, which: np.ndarray, rows: int = 2) -> list[np.ndarray]:
+        """128 bits of the words of some windows, as two rows of 64; or the first row alone.
+
+        Where they are many, sums are made for all places at once and theirs picked: neighbouring words need no gathering.
+        """
+        out, begin = [], self.first[which]
+        places = self.numbers.shape[1] - WINDOW + 1
+        many = len(which) * 4 > places
+        for row, step in zip(self.numbers[:rows], _STEP):
+            total = np.zeros(places if many else len(begin), np.uint64)
             for k in range(WINDOW):
-                total = total * step + row[self.first[which] + k]
-            out.append(mix(total))
-        return out[0], out[1]
+                total *= step
+                total += row[k:k + places] if many else row[begin + k]
+            out.append(mix(total[begin] if many else total))
+        return out
 
     def keys(self) -> np.ndarray:
         if not len(self.first):
@@ -119,7 +123,7 @@ class Windows:
             if not there.all():
                 gone = ~there
                 if level == 0:  # no interior at all: the digest
-                    keys[alive[gone]] = self.digests(alive[gone])[0]
+                    keys[alive[gone]] = self.digests(alive[gone], 1)[0]
                 else:  # the interior of the round before was the last
                     of, lows, highs = before
                     keys[alive[gone]] = self._least(of, lows[gone], highs[gone], level - 1)
@@ -208,7 +212,7 @@ def _sizes(words: list[list[bytes]]) -> np.ndarray:
 
 def _occurrences(batch: pa.RecordBatch, at: int, words: list[list[bytes]], names: Names):
     """Runs of neighbouring windows with one key: doc, key, and first window * SPAN + how many."""
-    found = Windows(names.numbers(words), _sizes(words))
+    found = Windows(names.numbers(words, 1), _sizes(words))
     keys = found.keys()
     if not len(keys):
         return [[]] * 3
@@ -245,8 +249,8 @@ def _removed(words: list[list[bytes]], cuts: list[list[int] | None], names: Name
     some = [i for i, cut in enumerate(cuts) if cut]
     if not some:
         return {}
-    found = Windows(names.numbers([words[i] for i in some]), _sizes([words[i] for i in some]))
-    h1 = found.digests(np.arange(len(found.first)))[0].view(np.int64)
+    found = Windows(names.numbers([words[i] for i in some], 1), _sizes([words[i] for i in some]))
+    h1 = found.digests(np.arange(len(found.first)), 1)[0].view(np.int64)
     bounds = np.searchsorted(found.doc, np.arange(len(some) + 1))
     out = {}
     for k, i in enumerate(some):

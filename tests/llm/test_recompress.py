@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from souk.llm import recompress
 
@@ -87,3 +88,28 @@ def test_each_window_is_hashed_in_one_round_only(monkeypatch):
 
 def test_empty_table(documents):
     assert found(documents()) == []
+
+
+def test_digests_of_few_and_of_many_windows_are_the_same():
+    """op9: many are summed for all places at once, few are gathered; the second row only where it is asked for."""
+    texts = [[random.Random(n).choice(VOCABULARY).encode() for _ in range(n)] for n in (0, 12, 13, 40, 5, 300)]
+    sizes = np.array([len(x) for x in texts])
+    both = recompress.Windows(recompress.Names().numbers(texts), sizes)
+    one = recompress.Windows(recompress.Names().numbers(texts, 1), sizes)
+    every = np.arange(len(both.first))
+    assert len(every) == 1 + 28 + 288 and one.numbers.shape[0] == 1
+    whole = both.digests(every)
+    assert (one.digests(every, 1)[0] == whole[0]).all() and len(one.digests(every, 1)) == 1
+    few = every[::40]
+    for row, some in zip(whole, both.digests(few)):
+        assert (row[few] == some).all()
+
+
+def test_words_are_numbered_by_their_digest():
+    """op9: new words are hashed together; each keeps the digest it has alone."""
+    names = recompress.Names()
+    for texts in ([[b"a", b"b"], [b"a"]], [[b"c", b"b"]], [[]]):
+        got = names.numbers(texts)
+        alone = [xxhash.xxh3_128_intdigest(w) for own in texts for w in own]
+        assert [int(h) << 64 | int(low) for h, low in got.T] == alone
+    assert names.fresh == []
