@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from souk.llm import shared as s
 from souk.llm.quality import fair_offset, labelled_sample
 
 BUCKETS = 1 << 18
-KNOWN = 200_000      # words a task keeps at a time
-PART = 1 << 20       # characters scored together
+KNOWN = 100_000      # words a task keeps at a time
+PART = 1 << 18       # bytes of text scored together
 FACTORS = 8
 STEM = 4            # letters of the second term of longer words
 SAMPLE = 4000       # labelled rows per class that training reads
@@ -113,27 +114,17 @@ class Machine:
 
 
 class Terms(dict):
-    """Number of each word met; its two buckets by that number."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows: list[tuple[int, int]] = []
-        self.table = np.zeros((0, 2), np.int64)
+    """The two buckets of each word met, as one number; -1 where there are none."""
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.rows.append(term_buckets(word))
-        return number
+        own, stem = term_buckets(word)
+        self[word] = both = -1 if own < 0 else own * BUCKETS + stem
+        return both
 
     def look_up(self, words: list[str]) -> np.ndarray:
         if len(self) > KNOWN:
             self.clear()
-            self.rows, self.table = [], np.zeros((0, 2), np.int64)
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.rows:
-            self.table = np.concatenate([self.table, np.array(self.rows, np.int64)])
-            self.rows = []
-        return self.table[numbers]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def sum_terms(columns: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -149,10 +140,10 @@ def score_texts(texts: list[str], terms: Terms, columns: np.ndarray, offset: flo
     flat = [w for own in words for w in own]
     if flat:
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        pairs = terms.look_up(flat)
+        both = terms.look_up(flat)
         words = flat = None  # the sums need the memory
-        there = pairs[:, 0] >= 0
-        keys = (doc[there, None] * BUCKETS + pairs[there]).ravel()
+        doc, both = doc[both >= 0] * BUCKETS, both[both >= 0]
+        keys = np.concatenate([doc + both // BUCKETS, doc + both % BUCKETS])
         keys.sort()
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         if len(keys):
@@ -193,12 +184,10 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text: str =
     """All rows and columns with __score, the probability of class 1. Null text is empty."""
     columns, offset = model
     wide = docs.sparkSession.sparkContext.broadcast(columns)  # BUCKETS * (FACTORS + 3) numbers
-    state: list[Terms] = []  # one per task
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.append(Terms())
-        texts = s.strings(batch.column(text))
-        return s.add_columns(batch, __score=s.in_parts(
-            texts, lambda part: score_texts(part, state[0], wide.value, offset), PART))
-    return s.map_batches(docs, each, s.extended(docs, __score="double"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        for batch in batches:
+            for part in s.slices(batch, text, PART):
+                yield s.add_columns(part, __score=score_texts(s.strings(part.column(text)), terms, wide.value, offset))
+    return s.map_arrow(docs, run, s.extended(docs, __score="double"))

@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from souk.llm import quality, toxicity
+from souk.llm import quality, shared, toxicity
 
 WORDS = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in ("n", "rt", "sh", "l")]
 
@@ -79,3 +80,36 @@ def test_held_out_rows_never_teach(spark, documents):
     picked = quality.labelled_sample(labels, "quality", "doc_id", lambda key: learn, 1000).collect()
     import zlib
     assert {r["__id"] for r in picked} == {i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_texts_become_python_objects_in_slices():
+    texts = ["a" * 6, None, "b" * 6, "", "é" * 40, "c", None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": pa.array(texts)})
+    parts = list(shared.slices(batch, "text", 10))
+    assert [p.num_rows for p in parts] == [3, 2, 2]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(7))
+    assert list(shared.slices(batch.slice(0, 0), "text", 10)) == []
+
+
+def test_toxicity_hands_batches_on_in_slices(spark, documents, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(shared, "map_arrow", lambda docs, run, schema: sizes.extend(
+        out.num_rows for out in run(iter([pa.RecordBatch.from_pydict({"text": ["x y"] * 300_000})]))))
+    toxicity.score_toxicity(documents((1, "a")), (np.zeros((toxicity.BUCKETS, toxicity.FACTORS + 3), np.float32), 0.0))
+    assert sum(sizes) == 300_000 and max(sizes) <= toxicity.PART // 3 + 1
+
+
+def test_toxicity_forgets_words_without_changing_scores(monkeypatch):
+    rng = np.random.default_rng(5)
+    columns = rng.normal(0, 1, (toxicity.BUCKETS, toxicity.FACTORS + 3)).astype(np.float32) ** 2
+    texts = ["", "...", *(" ".join(f"w{n}" for n in rng.integers(0, 300, 40)) + " ¿... W1! w1" for _ in range(30))]
+    terms = toxicity.Terms()
+    together = toxicity.score_texts(texts, terms, columns, 0.1)
+    monkeypatch.setattr(toxicity, "KNOWN", 20)
+    apart = [toxicity.score_texts([t], terms, columns, 0.1)[0] for t in texts]
+    assert together.tolist() == apart
+    for text, score in zip(texts, together):
+        ids = toxicity.document_terms(text)
+        z = 0.1 + (toxicity.sum_terms(columns, ids, np.array([0]))[0] if len(ids) else 0)
+        assert score == 1 / (1 + np.exp(-np.clip(z, -30, 30)))
